@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .near_dup import op5_hyperminhash_neardup
+from .quality import op7_weak_supervision
 
 QUERIES = {
     "op5_hyperminhash_neardup": op5_hyperminhash_neardup,
+    "op7_weak_supervision": op7_weak_supervision,
 }
 
 ORACLES: dict[str, str] = {}
