@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .near_dup import op5_hyperminhash_neardup
+from .packing import op8_martello_toth_packing
 from .quality import op7_weak_supervision
 
 QUERIES = {
     "op5_hyperminhash_neardup": op5_hyperminhash_neardup,
     "op7_weak_supervision": op7_weak_supervision,
+    "op8_martello_toth_packing": op8_martello_toth_packing,
 }
 
 ORACLES: dict[str, str] = {}
