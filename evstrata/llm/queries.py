@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language import op3_kneser_ney_language
 from .near_dup import op5_hyperminhash_neardup
 from .packing import op8_martello_toth_packing
 from .quality import op7_weak_supervision
 
 QUERIES = {
+    "op3_kneser_ney_language": op3_kneser_ney_language,
     "op5_hyperminhash_neardup": op5_hyperminhash_neardup,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_martello_toth_packing": op8_martello_toth_packing,
