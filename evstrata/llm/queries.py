@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_spaced_seed_decontamination
 from .language import op3_kneser_ney_language
 from .near_dup import op5_hyperminhash_neardup
 from .packing import op8_martello_toth_packing
@@ -10,6 +11,7 @@ from .quality import op7_weak_supervision
 QUERIES = {
     "op3_kneser_ney_language": op3_kneser_ney_language,
     "op5_hyperminhash_neardup": op5_hyperminhash_neardup,
+    "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_martello_toth_packing": op8_martello_toth_packing,
 }
