@@ -7,13 +7,17 @@ from .language import op3_kneser_ney_language
 from .near_dup import op5_hyperminhash_neardup
 from .packing import op8_martello_toth_packing
 from .quality import op7_weak_supervision
+from .urls import OP9_SQL, op9_rarest_token_urls
+from .warc import OP1_SQL, op1_warc_boundary_chain
 
 QUERIES = {
+    "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op3_kneser_ney_language": op3_kneser_ney_language,
     "op5_hyperminhash_neardup": op5_hyperminhash_neardup,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_martello_toth_packing": op8_martello_toth_packing,
+    "op9_rarest_token_urls": op9_rarest_token_urls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_warc_boundary_chain": OP1_SQL, "op9_rarest_token_urls": OP9_SQL}
