@@ -4,24 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evstrata.llm.decontaminate import decontaminate
+from evstrata.llm.language import language_of
 from evstrata.llm.near_dup import near_duplicates
+from evstrata.llm.packing import pack
+from evstrata.llm.quality import judge
+from evstrata.llm.shared import cut, table
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is among ``kept``."""
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a recognised language stay."""
+    return _only(docs, language_of(docs).filter("NOT rejected"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base and are more probably good than not stay."""
+    return _only(docs, judge(docs).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies the document with the smallest id stays."""
+    return _only(docs, near_duplicates(docs).filter("kept"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated"))
 
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, placed in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Model fitting and tokenisation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    from evstrata.llm.shared import cut, table
-
+    """All stages over ``documents``; what each stage keeps is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
