@@ -99,9 +99,14 @@ def fit_votes(counts: list[tuple[tuple[int, ...], int]], rounds: int = 100, smoo
     for _ in range(rounds):
         mass = [smooth, smooth]
         seen = [[{v: smooth for v in (-1, 0, 1)} for _ in range(n_rules)] for _ in (0, 1)]
-        # Prior belief, worth ``prior`` of the documents: good ones seldom get a bad vote.
+        # Prior beliefs, worth ``prior`` of the documents, keep the classes what they are called even
+        # where one is empty: bad documents get bad votes or none, good ones good votes or none.
         for r in range(n_rules):
+            seen[0][r][-1] += prior * total
+            seen[0][r][0] += prior * total
             seen[1][r][0] += prior * total
+            seen[1][r][1] += prior * total
+        mass[1] += prior * total
         for p, n in counts:
             for c, share in ((0, 1 - post[p]), (1, post[p])):
                 mass[c] += n * share

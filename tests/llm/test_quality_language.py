@@ -43,9 +43,14 @@ def test_labelled_quality(spark, sf_dir):
     assert sum(r["kept"] == (r["label"] == 1) for r in out) >= 0.97 * len(out)
 
 
-def test_one_defect_outweighs_abstentions():
-    post = quality.fit_votes([((1, 0, 0), 900), ((-1, -1, 0), 50), ((0, 0, -1), 20), ((0, 0, 0), 30)])
-    assert post[(1, 0, 0)] > 0.9 and post[(-1, -1, 0)] < 0.1
+FINE, SILENT, JUNK, SHOUT = (1, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0), (-1, -1, 0, 0, 0, 0), (-1, 0, 0, 0, -1, 0)
+
+
+def test_clean_tables_stay_and_junk_goes_at_any_share():
+    for fine, silent, junk, shout in ((900, 100, 0, 0), (10, 0, 0, 0), (0, 10, 0, 0), (5, 500, 0, 0), (500, 20, 3, 2), (50_000, 20, 3, 2), (50, 5, 50, 50), (0, 0, 100, 50)):
+        counts = [(p, n) for p, n in ((FINE, fine), (SILENT, silent), (JUNK, junk), (SHOUT, shout)) if n]
+        post = quality.fit_votes(counts)
+        assert all((q >= 0.5) == (p in (FINE, SILENT)) for p, q in post.items()), (counts, post)
     assert quality.fit_votes([]) == {}
 
 
