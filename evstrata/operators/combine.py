@@ -11,6 +11,7 @@ from .ranges import EXPLICIT, INVALID, joined_ranges, ranges_meet
 
 #: How values of a product type are combined.
 MERGES: dict[str, Callable[[Column, Column], Column]] = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+# Fixed value: the category under which this error is known.
 OVERLAP = "ProductCannotBeAggregated"
 
 

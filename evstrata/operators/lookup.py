@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,17 @@ def attach_parents(events: DataFrame, subruns: DataFrame, runs: DataFrame) -> Da
 def without_children(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Containers that hold nothing."""
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_anti")
+
+
+def neighbour_files(files: DataFrame, file: str = "file_no") -> DataFrame:
+    """Each file with the one before and the one after it in catalog order, null at the ends.
+
+    Files are few beside rows: one ordered task of file numbers.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy(file)
+    return files.select(file).distinct().select(file, F.lag(file).over(order).alias("previous_file"), F.lead(file).over(order).alias("next_file"))
+
+
+def pairs_from_other_side(pairs: DataFrame, left: str, right: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A collection of pairs as the partner sees it: both directions come from one table."""
+    return pairs.select(*by, F.col(right).alias(left), F.col(left).alias(right))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import EVENT, RUN, SUBRUN
 
+# Kinds of range sets, and the statuses of products.
 INVALID, FULL_RUN, FULL_SUBRUN, EXPLICIT = "invalid", "full_run", "full_subrun", "explicit"
+PRESENT, DUMMY = "present", "dummyToPreventDoubleCount"
 
 
 def full_ranges(events: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> DataFrame:
@@ -52,7 +54,7 @@ def invalidate_foreign(products: DataFrame, owners: DataFrame, by: tuple[str, ..
     inside = products.join(own, list(by), "left").groupBy(*products.columns).agg(F.coalesce(F.bool_or((F.col("begin") >= F.col("_b")) & (F.col("begin") < F.col("_e"))), F.lit(False)).alias("_in"))
     exempt = F.col("produced") | F.col("kind").isin(FULL_RUN, FULL_SUBRUN, INVALID) | F.col("begin").isNull()
     keep = exempt | F.col("_in")
-    status = F.when(keep, "present").otherwise("dummyToPreventDoubleCount")
+    status = F.when(keep, PRESENT).otherwise(DUMMY)
     return inside.select(*(c for c in products.columns if c not in ("value", "kind")), F.when(keep, F.col("kind")).otherwise(INVALID).alias("kind"), F.when(keep, F.col("value")).alias("value"), status.alias("status"))
 
 

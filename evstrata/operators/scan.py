@@ -66,6 +66,7 @@ def levels(events: DataFrame, mode: Mode) -> DataFrame:
 
 
 class Duplicates(Enum):
+    # The modes' names in configurations.
     KEEP = "noDuplicateCheck"
     EACH_FILE = "checkEachFile"
     EACH_REAL_FILE = "checkEachRealDataFile"

@@ -225,6 +225,17 @@ def mix_entries(spark, d):
     return lookup.read_positions(events_view(spark, d).select(*KEYS, "entry", "value"), positions).select("pos", "entry", *KEYS, "value")
 
 
+@query(f"with {SPLIT_SQL}, f as (select distinct file_no from h5) select file_no, lag(file_no) over (order by file_no) as previous_file, lead(file_no) over (order by file_no) as next_file from f")
+def neighbour_files(spark, d):
+    return lookup.neighbour_files(split_events_view(spark, d))
+
+
+@query("select distinct l_suppkey as part, l_partkey as supplier from lineitem")
+def pair_collection(spark, d):
+    pairs = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct()
+    return lookup.pairs_from_other_side(pairs, "part", "supplier")
+
+
 # ---------------------------------------------------------------- ranges
 
 
@@ -394,11 +405,11 @@ def switch_subrun(spark, d):
 
 @query(f"""with {_SWITCH}, g as (select output_file, min((run, subrun)) as a, max((run, subrun)) as b, arg_min(run, (run, subrun)) as fr, arg_min(subrun, (run, subrun)) as fs,
   arg_max(run, (run, subrun)) as lr, arg_max(subrun, (run, subrun)) as ls from s group by 1)
-select output_file, 'out_' || output_file || '_r' || fr || '_s' || fs || '-r' || lr || '_s' || ls || '_events.root' as file_name from g""")
+select output_file, 'out_' || output_file || '_r' || fr || '_s' || fs || '-r' || lr || '_s' || ls || '_events.parquet' as file_name from g""")
 def file_names(spark, d):
     out = output.switch_by_event(events_view(spark, d).select(*KEYS), 700)
     ends = out.groupBy("output_file").agg(F.min(F.struct("run", "subrun")).alias("a"), F.max(F.struct("run", "subrun")).alias("b"))
-    name = T.output_name("out_%#_r%r_s%s-r%R_s%S_%ifb.root", F.col("output_file"), (F.col("a.run"), F.col("a.subrun")), (F.col("b.run"), F.col("b.subrun")), T.file_stem(F.lit("/data/in/events.parquet")))
+    name = T.output_name("out_%#_r%r_s%s-r%R_s%S_%ifb.parquet", F.col("output_file"), (F.col("a.run"), F.col("a.subrun")), (F.col("b.run"), F.col("b.subrun")), T.file_stem(F.lit("/data/in/events.parquet")))
     return ends.select("output_file", name.alias("file_name"))
 
 
