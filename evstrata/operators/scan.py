@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import EVENT, KEY, RUN, SUBRUN, EventID, id_struct
+from ..plans.session import small
 
 
 class Mode(Enum):
@@ -83,7 +84,7 @@ def drop_duplicates(events: DataFrame, mode: Duplicates, order: tuple[str, ...],
         return events
     if mode is Duplicates.EACH_REAL_FILE:
         kind = events.groupBy(file).agg(F.min_by(real, F.struct(*file_order)).alias("_real"))
-        marked = events.join(F.broadcast(kind), file)
+        marked = events.join(small(kind), file)
         checked = drop_duplicates(marked.filter("_real").drop("_real"), Duplicates.EACH_FILE, order, file)
         return checked.unionByName(marked.filter("NOT _real").drop("_real"))
     keys = [*KEY, file] if mode is Duplicates.EACH_FILE else list(KEY)
@@ -107,7 +108,7 @@ def unsorted_order(events: DataFrame) -> DataFrame:
 
 def seek_exact(events: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted ID its entry, null where no file has it; the first file wins."""
-    found = events.join(F.broadcast(wanted), list(KEY), "left_semi").groupBy(*KEY).agg(F.min(F.struct("file_no", "entry")).alias("_at"))
+    found = events.join(small(wanted), list(KEY), "left_semi").groupBy(*KEY).agg(F.min(F.struct("file_no", "entry")).alias("_at"))
     return wanted.join(found, list(KEY), "left").select(*wanted.columns, F.col("_at.file_no").alias("file_no"), F.col("_at.entry").alias("entry"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_session(name: str = "evstrata", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,3 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a narrow side is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``limit`` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
