@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,41 +31,50 @@ def check(datasets: list[DataSet]) -> None:
         raise ValueError("the weights sum to zero")
 
 
-def generator_state(seed: int, n: int) -> int:
-    """State after ``n`` steps of the minimal standard generator, in closed form."""
-    return seed * pow(FACTOR, n, MODULUS) % MODULUS
+def generator_states(seed: int, steps: np.ndarray) -> np.ndarray:
+    """States of the minimal standard generator after so many ``steps``, each in closed form."""
+    out = np.full(len(steps), seed % MODULUS, np.int64)
+    power = FACTOR
+    for bit in range(int(steps.max(initial=0)).bit_length()):
+        out = np.where(steps >> bit & 1, out * power % MODULUS, out)
+        power = power * power % MODULUS
+    return out
 
 
-def draws(datasets: list[DataSet], seed: int, n: int) -> list[str]:
-    """The set of each of ``n`` draws: two generator steps make a uniform number, looked up in cumulated weights."""
+def choose(datasets: list[DataSet], seed: int, numbers: np.ndarray) -> np.ndarray:
+    """The set of each draw by number from 1: two generator steps make a uniform number, looked up in cumulated weights."""
     check(datasets)
     used = [d for d in datasets if d.weight > 0]
-    total = sum(d.weight for d in used)
-    limits = list(np.cumsum([d.weight for d in used]) / total)
+    limits = np.cumsum([d.weight for d in used]) / sum(d.weight for d in used)
     span = MODULUS - 1
-    out, x = [], generator_state(seed, 0)
-    for _ in range(n):
-        a = x * FACTOR % MODULUS
-        x = b = a * FACTOR % MODULUS
-        u = float((a - 1) + (b - 1) * span) / float(span * span)
-        out.append(used[min(bisect.bisect_left(limits, u), len(used) - 1)].name)
-    return out
+    a, b = generator_states(seed, 2 * numbers - 1), generator_states(seed, 2 * numbers)
+    u = ((a - 1) + (b - 1) * span).astype(np.float64) / float(span * span)
+    return np.array([d.name for d in used], object)[np.minimum(np.searchsorted(limits, u, "left"), len(used) - 1)]
+
+
+def draws(spark: SparkSession, datasets: list[DataSet], seed: int, n: int) -> DataFrame:
+    """``draw, dataset`` for ``n`` draws; tasks draw independently, for any draw can be computed alone."""
+    check(datasets)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(choose(datasets, seed, numbers), pa.string())], ["draw", "dataset"])
+
+    return spark.range(1, n + 1).withColumnRenamed("id", "draw").mapInArrow(run, "draw bigint, dataset string")
 
 
 def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed: int, n: int, first: EventID = EventID(1, 0, 1)) -> DataFrame:
     """Sampled events under new consecutive IDs with their old IDs, sets, weights and probabilities.
 
-    The list of draws has at most ``n`` rows and joins each set's events by rank; the sample ends before
-    the first draw whose set has run out.
+    Draws and events are joined by their ranks within each set; the sample ends before the first draw
+    whose set has run out.
     """
-    drawn = draws(datasets, seed, n)
-    seen: dict[str, int] = {}
-    rows = []
-    for i, name in enumerate(drawn, 1):
-        seen[name] = seen.get(name, 0) + 1
-        rows.append((i, name, seen[name]))
     total = sum(d.weight for d in datasets)
-    plan = spark.createDataFrame(rows, "draw bigint, dataset string, ordinal bigint")
+    plan = draws(spark, datasets, seed, n).withColumn("_block", F.expr("draw div 100000"))
+    plan = with_ordinal(plan, ("draw",), within=("dataset",), chunk=("_block",)).drop("_block")
     sets = spark.createDataFrame([(d.name, float(d.weight), d.weight / total) for d in datasets], "dataset string, weight double, probability double")
     start = F.lit(True)
     for d in datasets:
@@ -75,6 +83,7 @@ def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed
             start = start & ((F.col("dataset") != d.name) | (id_struct() >= at.struct()))
     ranked = with_ordinal(events.filter(start), (EVENT,), within=("dataset",))
     matched = plan.join(ranked.select("dataset", "ordinal", F.col(RUN).alias("old_run"), F.col(SUBRUN).alias("old_subrun"), F.col(EVENT).alias("old_event")), ["dataset", "ordinal"], "left")
+    # One row: where the sample ends.
     end = matched.agg(F.coalesce(F.min(F.when(F.col("old_event").isNull(), F.col("draw"))), F.lit(n + 1)).alias("_end"))
     kept = matched.join(F.broadcast(end), F.col("draw") < F.col("_end"))
     return kept.join(F.broadcast(sets), "dataset").select(

@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,9 +115,9 @@ def test_full_ranges_give_back_the_events(spark):
 
 def test_draws():
     sets = [sampling.DataSet("a", 1.0), sampling.DataSet("b", 0.0), sampling.DataSet("c", 3.0)]
-    drawn = sampling.draws(sets, 5, 2000)
+    drawn = sampling.choose(sets, 5, np.arange(1, 2001)).tolist()
     assert "b" not in drawn and 0.2 < drawn.count("a") / 2000 < 0.3
-    assert sampling.generator_state(1, 10000) == 1043618065
+    assert sampling.generator_states(1, np.array([0, 10000])).tolist() == [1, 1043618065]
     for bad in ([], [sampling.DataSet("a", -1.0)], [sampling.DataSet("a", 0.0)]):
         with pytest.raises(ValueError):
             sampling.check(bad)
@@ -126,7 +127,7 @@ def test_sampling_stops_where_a_set_runs_out(spark):
     rows = spark.createDataFrame([(1, 0, i, "a") for i in range(3)] + [(1, 0, 100 + i, "b") for i in range(50)], "run int, subrun int, event bigint, dataset string")
     sets = [sampling.DataSet("a", 1.0), sampling.DataSet("b", 1.0)]
     got = sampling.sample(spark, rows, sets, 3, 40).orderBy("event").collect()
-    drawn = sampling.draws(sets, 3, 40)
+    drawn = sampling.choose(sets, 3, np.arange(1, 41)).tolist()
     end = [i for i, d in enumerate(drawn) if d == "a"][3]
     assert [r["dataset"] for r in got] == drawn[:end]
     assert [r["event"] for r in got] == list(range(1, end + 1))
