@@ -72,7 +72,12 @@ def _pieces(spark: SparkSession, path: str, payload: bool) -> DataFrame:
 
 
 def _with_offsets(pieces: DataFrame) -> DataFrame:
-    """Add ``start``, the offset of the magic before each piece; the text before a file's first magic starts at minus its length."""
+    """Add ``start``, the offset of the magic before each piece; the text before a file's first magic starts at minus its length.
+
+    The pieces are written first: how files are split may change when executors come and go, and places
+    and lengths have to come from one and the same reading.
+    """
+    pieces = cut(pieces, "pieces")
     inside = Window.partitionBy("file", "block").orderBy("id")
     step = F.col("size") + len(MAGIC)
     local = pieces.withColumn("before", F.sum(step).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - step)
@@ -120,7 +125,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
     With ``payload`` also the payload; without it payloads are only digested and never shuffled.
     """
-    facts = cut(_with_offsets(_pieces(spark, path, False)), "pieces")
+    facts = cut(_with_offsets(_pieces(spark, path, False)), "facts")
     candidates = facts.filter("length is not null and start >= 0").withColumn("next", F.col("start") + len(MAGIC) + F.col("body_at") + F.col("length") + len(BREAK))
     reached = cut(_reached(candidates.select("file", "block", "start", "next")), "reached")
     # Pieces that end before their record does are continued by the pieces after them.
