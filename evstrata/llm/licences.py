@@ -89,23 +89,30 @@ def train(copies: int = 12, rounds: int = 400, rate: float = 0.5, ridge: float =
                 cut = int(rng.integers(len(around) + 1))
                 rows.append((grams(around[:cut] + kept + around[cut:]), y))
     rows += [(set(), len(classes) - 1)] * (len(rows) // 8)
+    # Feature 0 is the intercept, which every row has; the rest is sparse.
     names = sorted(set().union(*(g for g, _ in rows)))
-    place = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for i, (g, _) in enumerate(rows):
-        x[i, [place[t] for t in g]] = 1
+    place = {g: i + 1 for i, g in enumerate(names)}
+    held = [[0, *(place[t] for t in sorted(g))] for g, _ in rows]
+    feature = np.concatenate([np.array(h) for h in held])
+    begin = np.concatenate(([0], np.cumsum([len(h) for h in held])[:-1]))
+    by_feature = np.argsort(feature, kind="stable")
+    owner = np.repeat(np.arange(len(rows)), [len(h) for h in held])[by_feature]
+    feature_begin = np.searchsorted(feature[by_feature], np.arange(len(names) + 1))
     y = np.eye(len(classes))[[c for _, c in rows]]
-    w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    for _ in range(rounds):
-        z = x @ w + b
+    w = np.zeros((len(names) + 1, len(classes)))
+
+    def probabilities() -> np.ndarray:
+        z = np.add.reduceat(w[feature], begin)
         p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - y) / len(rows)
-        w -= rate * (x.T @ g * 10 + ridge * w)
-        b -= rate * g.sum(0) * 10
-    z = x @ w + b
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+        return p / p.sum(1, keepdims=True)
+
+    shrink = np.full((len(names) + 1, 1), ridge)
+    shrink[0] = 0
+    for _ in range(rounds):
+        g = (probabilities() - y) * (10 / len(rows))
+        w -= rate * (np.add.reduceat(g[owner], feature_begin) + shrink * w)
+    p = probabilities()
+    b = w[0]
     right = np.array([p[i, c] for i, (_, c) in enumerate(rows) if c < len(classes) - 1])
     wrong = np.array([p[i, :-1].max() for i, (_, c) in enumerate(rows) if c == len(classes) - 1])
     # Midway between what nearly all notices reach and what no other sentence does.
