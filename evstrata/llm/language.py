@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,37 +198,45 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     context = cut(context.select("k", "lang", "x", "t", "d", (F.col("d") * F.col("kinds") / F.col("t")).alias("spare")), "contexts")
     share = every.join(context, ["k", "lang", "x"]).select("k", "lang", "g", "x", "s", "n", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("t")).alias("p"), "spare")
     share = share.groupBy("k", _slot("g", bits).alias("g"), "lang").agg(*(F.max_by(c, F.struct("n", "p")).alias(c) for c in ("x", "s", "p", "spare")))
-    share = share.select("k", "g", "lang", _slot("x", bits).alias("x"), _slot("s", bits).alias("s"), "p", "spare").toPandas()
-    weight = context.filter("k > 0").groupBy("k", _slot("x", bits).alias("x"), "lang").agg(F.max_by("spare", "t").alias("spare")).toPandas()
+    share = share.select("k", "g", "lang", _slot("x", bits).alias("x"), _slot("s", bits).alias("s"), "p", "spare").toArrow()
+    weight = context.filter("k > 0").groupBy("k", _slot("x", bits).alias("x"), "lang").agg(F.max_by("spare", "t").alias("spare")).toArrow()
     return _assemble(share, weight, bits)
 
 
-def _assemble(share, weight, bits: int) -> Model:
-    langs = sorted(share["lang"].unique())
-    number = {lang: i for i, lang in enumerate(langs)}
+def _columns(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
+    """The columns of ``rows`` as arrays, languages by their place in ``langs``."""
+    out = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "lang"}
+    out["lang"] = pc.index_in(rows.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    return out
+
+
+def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
+    langs = sorted(pc.unique(share.column("lang")).to_pylist())
+    share, weight = _columns(share, langs), _columns(weight, langs)
     alphabet = max(2, int((share["k"] == 0).sum() / max(1, len(langs))))
     empty = np.zeros(0, np.int32)
     blank = np.zeros((0, len(langs)), np.float32)
     m = Model(langs, bits, [empty] * ORDER, [blank] * ORDER, [empty] * ORDER, [blank] * ORDER, np.full(len(langs), -np.log(4.0 * alphabet), np.float32))
     for k in range(1, ORDER):
-        part = weight[weight["k"] == k]
-        slots, at = np.unique(part["x"].to_numpy(), return_inverse=True)
+        mine = weight["k"] == k
+        slots, at = np.unique(weight["x"][mine], return_inverse=True)
         rows = np.zeros((len(slots), len(langs)), np.float32)
-        rows[at, part["lang"].map(number).to_numpy(int)] = np.log(part["spare"].to_numpy(float))
+        rows[at, weight["lang"][mine]] = np.log(weight["spare"][mine])
         m.back_slots[k], m.back[k] = slots.astype(np.int32), rows
     for k in range(ORDER):
-        part = share[share["k"] == k]
-        slots, first, at = np.unique(part["g"].to_numpy(), return_index=True, return_inverse=True)
+        mine = share["k"] == k
+        lang, p = share["lang"][mine], share["p"][mine]
+        slots, first, at = np.unique(share["g"][mine], return_index=True, return_inverse=True)
         direct = np.zeros((len(slots), len(langs)))
-        direct[at, part["lang"].map(number).to_numpy(int)] = part["p"].to_numpy(float)
-        x, s = part["x"].to_numpy()[first], part["s"].to_numpy()[first]
+        direct[at, lang] = p
         if k:
+            x, s = share["x"][mine][first], share["s"][mine][first]
             lower = _lower(m, s, k - 1)
             where, known = m._find(m.back_slots[k], x)
             spare = np.where(known[:, None], m.back[k][where] if len(m.back_slots[k]) else 0.0, 0.0)
         else:
             lower, spare = np.broadcast_to(m.floor, direct.shape), np.zeros(direct.shape)
-            spare[at, part["lang"].map(number).to_numpy(int)] = np.log(part["spare"].to_numpy(float))
+            spare[at, lang] = np.log(share["spare"][mine])
         m.slots[k], m.rows[k] = slots.astype(np.int32), np.log(direct + np.exp(spare + lower)).astype(np.float32)
     return m
 
