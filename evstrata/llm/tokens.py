@@ -9,7 +9,7 @@ tokenizer whole.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import regex
 CACHE_WORDS = 600_000
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile(r"<\||[\x1c-\x1f]")
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-İĲ-ſ]*")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,20 +51,26 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or "İ" in word:
+        # Printable ASCII and composed Latin letters are as the normaliser leaves them, but for case.
+        if not (word.isprintable() if word.isascii() else _PLAIN.fullmatch(word)):
             return self._whole(word)
-        out = []
-        for part in _PATTERN.findall(unicodedata.normalize("NFC", word).lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                mapped = "".join([self.letters[b] for b in part.encode()]) if not part.isascii() else part
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        word = word.lower()
+        if word.isalpha():
+            return self._part(word)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join([self._part(p) for p in _PATTERN.findall(word)])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
