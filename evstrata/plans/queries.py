@@ -427,6 +427,13 @@ def union_backfill(spark, d):
     return output.backfilled(e.filter("event < 2000").select(*KEYS, "value"), e.filter("event between 2000 and 3999").select(*KEYS, "user_id"))
 
 
+@query(f"with {EVENTS_SQL} select run, subrun, event, value, cast(null as bigint) as user_id from h1 where dataset is distinct from 'view' union all select run, subrun, event, null, user_id from h1 where dataset = 'view'")
+def union_backfill_all(spark, d):
+    e = events_view(spark, d)
+    view = F.col("dataset").eqNullSafe("view")
+    return output.backfilled(e.filter(~view).select(*KEYS, "value"), e.filter(view).select(*KEYS, "user_id"))
+
+
 @query(f"with {EVENTS_SQL} select run, subrun, event, dataset, is_real_data, ts, value from h1")
 def write_roundtrip(spark, d):
     path = shared_folder(spark)
@@ -505,6 +512,43 @@ def sampled_products(spark, d):
     return out.select("product", F.array_join(F.transform("sampled", group), " ").alias("sampled"))
 
 
+# The same over the whole table; the queries above keep the id prefix that their SQL defines.
+
+_ALL = _sampling_sql(_SETS, 7, 400, "true")
+
+
+def _sample_all(spark, d):
+    return sampling.sample(spark, events_view(spark, d), _SETS, 7, 400)
+
+
+@query(f"with recursive {_ALL} select * from sampled")
+def sampling_events_all(spark, d):
+    return _sample_all(spark, d)
+
+
+@query(f"with recursive {_ALL} select cp.dataset, cp.weight, cp.probability, count(old_event) as n_sampled, count(old_event) / (select count(*) from sampled)::double as fraction, (select count(*) from sampled) as n_total from cp left join sampled using (dataset) group by 1, 2, 3")
+def sampling_summary_all(spark, d):
+    return sampling.summary(_sample_all(spark, d), spark, _SETS)
+
+
+@query(f"""with {EVENTS_SQL}, i as (select distinct dataset, run, subrun from h1)
+select dataset, cast(count(*) as int) as n_ids, string_agg(run || ':' || subrun, ',' order by run, subrun) as ids from i group by 1""")
+def sampled_info_all(spark, d):
+    ids = sampling.sampled_ids(events_view(spark, d), ("run", "subrun"))
+    return ids.select("dataset", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: F.concat_ws(":", x["run"], x["subrun"])), ",").alias("ids"))
+
+
+@query(f"""with {EVENTS_SQL}, v as (select user_id as product, dataset, event as id, cast(value as decimal(18,2)) as value from h1),
+i as (select product, dataset, string_agg(id || '=' || value, ',' order by id) as entries from v group by 1, 2)
+select product, string_agg(dataset || '{{' || entries || '}}', ' ' order by dataset) as sampled from i group by 1""")
+def sampled_products_all(spark, d):
+    values = events_view(spark, d).select(F.col("user_id").alias("product"), "dataset", F.col("event").alias("id"), F.col("value").cast("decimal(18,2)").alias("value"))
+    out = sampling.sampled_products(values, "product")
+    entry = lambda x: F.concat_ws("=", x["id"], x["value"])
+    group = lambda g: F.concat(g["dataset"], F.lit("{"), F.array_join(F.transform(g["entries"], entry), ","), F.lit("}"))
+    return out.select("product", F.array_join(F.transform("sampled", group), " ").alias("sampled"))
+
+
 # ---------------------------------------------------------------- provenance
 
 _KEPT = ((1, 10, True), (1, 11, False), (1, 12, True), (2, 10, True))
