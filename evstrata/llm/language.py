@@ -1,12 +1,13 @@
 """Language identification with Kneser-Ney character models (operator 3).
 
 Each language has an interpolated Kneser-Ney model over 4-grams of lower-cased letters, every run of
-other characters being one space.  Counts cover all training documents and are summed per task
-before they are shuffled; discounts, continuation counts and probabilities are DataFrame
+other characters being one space.  Counts cover all training documents but those that calibrate the
+rejection and are summed per task before they are shuffled; discounts, continuation counts and probabilities are DataFrame
 aggregations.  What the workers get is bounded: n-grams are addressed by ``slot_bits``-bit hashes,
 so a model has at most 4 * 2**slot_bits rows, held in arrays sorted by slot with one column per
 language.  The language of lowest cross-entropy per character wins; a document is rejected if that
-cross-entropy lies beyond what training documents of its language and length show.
+cross-entropy lies beyond what labelled documents of its language and length show that are left out
+of the counts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text when nothing can be learned from; of equal cross-entropies the first language in
@@ -304,24 +305,60 @@ def identify(docs: DataFrame, model: Model, keys: list[str], text_col: str = "te
     return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), keys), f"{kinds}, lang_pred string, score double, entropy double, symbols long")
 
 
-def with_rejection(found: DataFrame, training: str = "NOT held_out", quantile: float = 0.999, margin: float = 1.0) -> DataFrame:
-    """Add ``rejected``: entropy over the training documents' quantile for language and length, by ``margin`` nats."""
+def with_rejection(found: DataFrame, sure: str = "calibrates AND lang = lang_pred", enough: int = 30, times: float = 6.0, least: float = 0.05) -> DataFrame:
+    """Add ``rejected``: entropy too far beyond what the rows ``sure``, which the model was not learned from, show.
+
+    Entropies are taken as shares of the median of their language.  The limit of a language and length is
+    the median share and ``times`` the way from it to the 0.9 quantile (``least`` at least), neither of
+    which a tenth of bad rows moves.  Classes of fewer than ``enough`` rows take the limit of their length
+    in all languages, and if that is as rare, one over all lengths whose spread is that of a mean of so
+    many symbols.
+    """
     length = F.floor(F.log2(F.greatest(F.col("symbols"), F.lit(1)))).cast("int")
     found = found.withColumn("length_class", length)
-    limits = found.filter(F.expr(training)).groupBy("lang_pred", "length_class").agg(F.percentile_approx("entropy", quantile, 1000).alias("limit"))
-    out = found.join(F.broadcast(limits), ["lang_pred", "length_class"], "left")
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("limit") + margin, F.lit(False))).drop("limit", "length_class")
+    good = found.filter(F.expr(sure)).filter("lang_pred <> 'und'")
+    centres = good.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 1000).alias("own"), F.count("*").alias("rows"))
+    usual = good.agg(F.percentile_approx("entropy", 0.5, 1000).alias("usual"))
+    # A median of one or two rows does not lower the centre.
+    centre = F.when(F.col("rows") >= 3, F.col("own")).otherwise(F.greatest("own", "usual"))
+    shares = good.join(F.broadcast(centres), "lang_pred").join(F.broadcast(usual), F.lit(True)).withColumn("share", F.col("entropy") / F.greatest(centre, F.lit(1e-9)))
+
+    def limits(name: str, *by: str) -> DataFrame:
+        q = F.percentile_approx("share", [0.5, 0.9], 1000)
+        out = shares.groupBy(*by).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("q").isNotNull())
+        if by:
+            out = out.filter(F.col("n") >= enough)
+        return F.broadcast(out.select(*by, F.col("q")[0].alias(f"{name}_mid"), F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least)).alias(f"{name}_way")))
+
+    out = found.join(F.broadcast(centres), "lang_pred", "left").join(F.broadcast(usual), F.lit(True), "left")
+    out = out.join(limits("class", "lang_pred", "length_class"), ["lang_pred", "length_class"], "left").join(limits("length", "length_class"), "length_class", "left").join(limits("all"), F.lit(True), "left")
+    by_size = F.greatest("all_way", 1 / F.sqrt(F.greatest(F.col("symbols"), F.lit(1))))
+    limit = F.coalesce(*(F.col(f"{c}_mid") + times * F.col(f"{c}_way") for c in ("class", "length")), F.col("all_mid") + times * by_size)
+    beyond = F.col("entropy") > limit * F.coalesce(centre, F.col("usual"))
+    return out.withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(beyond, F.lit(False))).select(*(c for c in found.columns if c != "length_class"), "rejected")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def language_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, entropy, symbols, rejected``, learned from the documents that are not held out."""
-    docs = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
-    model = learn(docs.filter(~F.col("held_out")))
-    found = cut(identify(docs, model, ["doc_id", "held_out"]), "languages")
+def calibrating(id_col: str = "doc_id") -> Column:
+    """A fifth of the documents that are not held out."""
+    return ~held_out(id_col) & F.coalesce(F.expr(f"crc32(cast({id_col} as string)) div 5 % 5 = 0"), F.lit(False))
+
+
+def language_of(docs: DataFrame, spare: int = 5) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, entropy, symbols, rejected``, learned from the documents that are not held out.
+
+    A fifth of those is not counted either but tells what the language's entropies are; a language that
+    has fewer than ``spare`` other documents is learned from all of them.
+    """
+    docs = docs.select("doc_id", "text", "lang", held_out().alias("held_out"), calibrating().alias("_apart"))
+    counted = docs.filter("NOT held_out AND lang IS NOT NULL").groupBy("lang").agg(F.count_if(~F.col("_apart")).alias("n"))
+    plenty = F.broadcast(counted.filter(F.col("n") >= spare).select("lang", F.lit(True).alias("_plenty")))
+    docs = docs.join(plenty, "lang", "left").withColumn("calibrates", F.col("_apart") & F.coalesce("_plenty", F.lit(False)))
+    model = learn(docs.filter("NOT held_out AND NOT calibrates"))
+    found = cut(identify(docs, model, ["doc_id", "held_out", "lang", "calibrates"]), "languages")
     return with_rejection(found).select("doc_id", "held_out", "lang_pred", "score", "entropy", "symbols", "rejected")
 
 
