@@ -3,9 +3,9 @@
 Each language has an interpolated Kneser-Ney model over 4-grams of lower-cased letters, every run of
 other characters being one space.  Counts cover all training documents but those that calibrate the
 rejection and are summed per task before they are shuffled; discounts, continuation counts and probabilities are DataFrame
-aggregations.  What the workers get is bounded: n-grams are addressed by ``slot_bits``-bit hashes,
-so a model has at most 4 * 2**slot_bits rows, held in arrays sorted by slot with one column per
-language.  The language of lowest cross-entropy per character wins; a document is rejected if that
+aggregations.  The operator addresses n-grams by their whole 64-bit hashes, so none is merged with
+another or dropped.  A model of up to ``CELLS`` n-grams times languages is broadcast, in arrays sorted
+by hash with one column per language; a larger one stays a table that is joined with the texts' n-grams.  The language of lowest cross-entropy per character wins; a document is rejected if that
 cross-entropy lies beyond what labelled documents of its language and length show that are left out
 of the counts.
 
@@ -32,7 +32,12 @@ from .shared import cut, table
 
 U64 = np.uint64
 ORDER = 4
+#: Default of ``learn`` for small models; n-grams that share a slot become one.
 SLOT_BITS = 22
+#: What the operator uses: whole hashes.
+KEY_BITS = 64
+#: Rows times languages up to which a model is broadcast.
+CELLS = 1 << 23
 PAD, SPACE = 1, 32
 _M = [pow(0xF1357AEA2E62A9C5, j, 1 << 64) for j in range(ORDER)]
 #: Characters counted or scored at a time.
@@ -134,9 +139,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slot(name: str, bits: int) -> Column:
+    if bits == KEY_BITS:
+        return F.col(name)
     return F.shiftrightunsigned(F.col(name), 64 - bits).cast("int")
 
 
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes.view(np.int64) if bits == KEY_BITS else (hashes >> U64(64 - bits)).astype(np.int32)
+
+
 @dataclass
 class Model:
     """``slots[k]`` sorted, ``rows[k]`` log probabilities by language; ``back_slots``/``back`` the weights of unseen continuations."""
@@ -173,8 +184,16 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = SLOT_BITS) -> Model:
-    """A model of every language among the rows of ``docs``."""
+@dataclass
+class Levels:
+    """``share``: per ``k, lang, g`` the context ``x``, suffix ``s``, direct probability ``p`` and weight ``spare`` of what is unseen; ``context``: that weight per ``k, lang, x``."""
+
+    share: DataFrame
+    context: DataFrame
+
+
+def count_levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Levels:
+    """Counts and discounted shares of every n-gram of every language among the rows of ``docs``."""
     pairs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     raw = pairs.mapInArrow(_count, "lang string, " + ", ".join(f"{c} long" for c in _COUNT_NAMES))
     keys = _COUNT_NAMES[:-1]
@@ -198,12 +217,61 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     context = every.groupBy("k", "lang", "x").agg(F.sum("n").alias("t"), F.count("*").alias("kinds")).join(F.broadcast(discount), ["k", "lang"])
     context = cut(context.select("k", "lang", "x", "t", "d", (F.col("d") * F.col("kinds") / F.col("t")).alias("spare")), "contexts")
     share = every.join(context, ["k", "lang", "x"]).select("k", "lang", "g", "x", "s", "n", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("t")).alias("p"), "spare")
-    share = share.groupBy("k", _slot("g", bits).alias("g"), "lang").agg(*(F.max_by(c, F.struct("n", "p")).alias(c) for c in ("x", "s", "p", "spare")))
+    return Levels(share, context)
+
+
+def _collect(levels: Levels, bits: int) -> Model:
+    share, context = levels.share, levels.context
+    if bits < KEY_BITS:
+        share = share.groupBy("k", _slot("g", bits).alias("g"), "lang").agg(*(F.max_by(c, F.struct("n", "p")).alias(c) for c in ("x", "s", "p", "spare")))
     share = share.select("k", "g", "lang", _slot("x", bits).alias("x"), _slot("s", bits).alias("s"), "p", "spare").toArrow()
     weight = context.filter("k > 0").groupBy("k", _slot("x", bits).alias("x"), "lang").agg(F.max_by("spare", "t").alias("spare")).toArrow()
     return _assemble(share, weight, bits)
 
 
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = SLOT_BITS) -> Model:
+    """A model of every language among the rows of ``docs``."""
+    return _collect(count_levels(docs, text_col, lang_col), bits)
+
+
+@dataclass
+class Tables:
+    """A model too large to broadcast: ``logs[k]`` with ``g`` and a map from languages to log probabilities, ``back[k]`` with ``x`` and one to weights."""
+
+    langs: list[str]
+    logs: list[DataFrame]
+    back: list[DataFrame | None]
+    floor: float
+
+
+def tabulate(levels: Levels) -> Tables:
+    """What ``_assemble`` makes, as tables."""
+    share = cut(levels.share, "shares")
+    langs = sorted(r["lang"] for r in share.select("lang").distinct().collect())
+    floor = -float(np.log(4.0 * max(2, int(share.filter("k = 0").count() / max(1, len(langs))))))
+    logs, back, below = [], [None], None
+    by_lang = lambda c: F.map_from_entries(F.collect_list(F.struct("lang", c)))
+    for k in range(ORDER):
+        mine = share.filter(F.col("k") == k)
+        if below is None:
+            mine = mine.withColumn("lower", F.lit(floor))
+        else:
+            mine = mine.join(below.select("lang", F.col("g").alias("s"), F.col("log").alias("lower")), ["lang", "s"])
+        below = cut(mine.select("lang", "g", F.log(F.col("p") + F.col("spare") * F.exp("lower")).alias("log")), f"logs{k}")
+        logs.append(below.groupBy("g").agg(by_lang("log").alias("logs")))
+        if k:
+            back.append(levels.context.filter(F.col("k") == k).groupBy("x").agg(by_lang(F.log("spare")).alias("back")))
+    return Tables(langs, logs, back, floor)
+
+
+def learn_any(docs: DataFrame, cells: int = CELLS) -> Model | Tables:
+    """The model by whole hashes, as arrays if it is small and as tables if not."""
+    levels = count_levels(docs)
+    levels = Levels(cut(levels.share, "shares"), levels.context)
+    size = levels.share.agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("langs")).first()
+    return _collect(levels, KEY_BITS) if size["rows"] * size["langs"] <= cells else tabulate(levels)
+
+
 def _columns(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
     """The columns of ``rows`` as arrays, languages by their place in ``langs``."""
     out = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "lang"}
@@ -215,7 +283,8 @@ def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
     langs = sorted(pc.unique(share.column("lang")).to_pylist())
     share, weight = _columns(share, langs), _columns(weight, langs)
     alphabet = max(2, int((share["k"] == 0).sum() / max(1, len(langs))))
-    empty = np.zeros(0, np.int32)
+    kind = np.int64 if bits == KEY_BITS else np.int32
+    empty = np.zeros(0, kind)
     blank = np.zeros((0, len(langs)), np.float32)
     m = Model(langs, bits, [empty] * ORDER, [blank] * ORDER, [empty] * ORDER, [blank] * ORDER, np.full(len(langs), -np.log(4.0 * alphabet), np.float32))
     for k in range(1, ORDER):
@@ -223,7 +292,7 @@ def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
         slots, at = np.unique(weight["x"][mine], return_inverse=True)
         rows = np.zeros((len(slots), len(langs)), np.float32)
         rows[at, weight["lang"][mine]] = np.log(weight["spare"][mine])
-        m.back_slots[k], m.back[k] = slots.astype(np.int32), rows
+        m.back_slots[k], m.back[k] = slots.astype(kind), rows
     for k in range(ORDER):
         mine = share["k"] == k
         lang, p = share["lang"][mine], share["p"][mine]
@@ -238,7 +307,7 @@ def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
         else:
             lower, spare = np.broadcast_to(m.floor, direct.shape), np.zeros(direct.shape)
             spare[at, lang] = np.log(share["spare"][mine])
-        m.slots[k], m.rows[k] = slots.astype(np.int32), np.log(direct + np.exp(spare + lower)).astype(np.float32)
+        m.slots[k], m.rows[k] = slots.astype(kind), np.log(direct + np.exp(spare + lower)).astype(np.float32)
     return m
 
 
@@ -251,11 +320,10 @@ def _lower(m: Model, s: np.ndarray, k: int) -> np.ndarray:
 def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per symbol by language, and the number of symbols, of each text."""
     entropy, size = np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), np.int64)
-    shift = U64(64 - m.bits)
     for i, part in _chunks(texts):
         s, begin = read_symbols(part)
         s = np.concatenate(([PAD], s)).astype(np.uint32)
-        all_slots = [(c >> shift).astype(np.int32) for c in codes(s)]
+        all_slots = [_slots(c, m.bits) for c in codes(s)]
         scored = np.flatnonzero(s[ORDER:] != PAD) + 1
         g = [c[scored] for c in all_slots]
         x = [all_slots[0][scored]] + [c[scored - 1] for c in all_slots[:-1]]
@@ -305,6 +373,49 @@ def identify(docs: DataFrame, model: Model, keys: list[str], text_col: str = "te
     return rows.mapInArrow(_score(spark.sparkContext.broadcast(model), keys), f"{kinds}, lang_pred string, score double, entropy double, symbols long")
 
 
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct 4-grams of each text with the hashes of their parts and their number."""
+    for batch in batches:
+        for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # A long text gives several groups of rows; they are added up later.
+            s, _ = read_symbols([t or ""])
+            s = np.concatenate(([PAD], s)).astype(np.uint32)
+            for lo in range(0, max(1, len(s) - ORDER), CHUNK):
+                part = s[lo : lo + CHUNK + ORDER]
+                g = codes(part)
+                scored = np.flatnonzero(part[ORDER:] != PAD) + 1
+                keys, at, n = np.unique(g[-1][scored], return_index=True, return_counts=True)
+                i = scored[at]
+                parts = (keys, g[2][i], g[1][i], g[0][i], g[2][i - 1], g[1][i - 1], g[0][i - 1])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(keys), pa.int64()), *(pa.array(c.view(np.int64)) for c in parts), pa.array(n.astype(np.int64)), pa.array([_has_letter(t)] * len(keys), pa.bool_())], ["row", *_COUNT_NAMES, "letter"])
+
+
+def identify_by_join(docs: DataFrame, tables: Tables, keys: list[str], text_col: str = "text") -> DataFrame:
+    """As ``identify``, with the texts' n-grams joined to the tables; every distinct n-gram is resolved once."""
+    rows = cut(docs.select(*keys, F.col(text_col).alias("text")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = rows.select("_row", "text").mapInArrow(_text_grams, "row long, " + ", ".join(f"{c} long" for c in _COUNT_NAMES) + ", letter boolean")
+    found = cut(found, "text-grams")
+    grams = found.select(*_COUNT_NAMES[:-1]).distinct()
+    for k in range(ORDER):
+        grams = grams.join(tables.logs[k].select(F.col("g").alias(f"g{k + 1}"), F.col("logs").alias(f"log{k}")), f"g{k + 1}", "left")
+        if k:
+            grams = grams.join(tables.back[k].select(F.col("x").alias(f"x{k + 1}"), F.col("back").alias(f"back{k}")), f"x{k + 1}", "left")
+    columns = []
+    for i, lang in enumerate(tables.langs):
+        log = F.lit(tables.floor)
+        for k in range(ORDER):
+            log = F.coalesce(F.col(f"log{k}")[lang], (log + F.coalesce(F.col(f"back{k}")[lang], F.lit(0.0))) if k else log)
+        columns.append(log.alias(f"l{i}"))
+    grams = cut(grams.select("g4", *columns), "resolved")
+    sums = found.select("row", "letter", "g4", "n").join(grams, "g4").groupBy("row").agg(F.sum("n").alias("symbols"), F.max("letter").alias("letter"), F.array(*(-F.sum(F.col("n") * F.col(f"l{i}")) / F.sum("n") for i in range(len(tables.langs)))).alias("e"))
+    out = rows.drop("text").join(sums.withColumnRenamed("row", "_row"), "_row", "left")
+    least = F.array_min("e")
+    best = F.element_at(F.array(*map(F.lit, tables.langs)), F.array_position("e", least).cast("int"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp((F.array_min("e") - x) * F.least(F.col("symbols"), F.lit(100))))
+    letter = F.coalesce("letter", F.lit(False))
+    return out.select(*keys, F.when(letter, best).otherwise("und").alias("lang_pred"), F.when(letter, 1 / total).otherwise(0.0).alias("score"), F.when(F.col("symbols") > 0, least).otherwise(0.0).alias("entropy"), F.coalesce("symbols", F.lit(0)).alias("symbols"))
+
+
 def with_rejection(found: DataFrame, sure: str = "calibrates AND lang = lang_pred", enough: int = 30, times: float = 6.0, least: float = 0.05) -> DataFrame:
     """Add ``rejected``: entropy too far beyond what the rows ``sure``, which the model was not learned from, show.
 
@@ -347,7 +458,7 @@ def calibrating(id_col: str = "doc_id") -> Column:
     return ~held_out(id_col) & F.coalesce(F.expr(f"crc32(cast({id_col} as string)) div 5 % 5 = 0"), F.lit(False))
 
 
-def language_of(docs: DataFrame, spare: int = 5) -> DataFrame:
+def language_of(docs: DataFrame, spare: int = 5, cells: int = CELLS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, entropy, symbols, rejected``, learned from the documents that are not held out.
 
     A fifth of those is not counted either but tells what the language's entropies are; a language that
@@ -357,8 +468,8 @@ def language_of(docs: DataFrame, spare: int = 5) -> DataFrame:
     counted = docs.filter("NOT held_out AND lang IS NOT NULL").groupBy("lang").agg(F.count_if(~F.col("_apart")).alias("n"))
     plenty = F.broadcast(counted.filter(F.col("n") >= spare).select("lang", F.lit(True).alias("_plenty")))
     docs = docs.join(plenty, "lang", "left").withColumn("calibrates", F.col("_apart") & F.coalesce("_plenty", F.lit(False)))
-    model = learn(docs.filter("NOT held_out AND NOT calibrates"))
-    found = cut(identify(docs, model, ["doc_id", "held_out", "lang", "calibrates"]), "languages")
+    model = learn_any(docs.filter("NOT held_out AND NOT calibrates"), cells)
+    found = cut((identify if isinstance(model, Model) else identify_by_join)(docs, model, ["doc_id", "held_out", "lang", "calibrates"]), "languages")
     return with_rejection(found).select("doc_id", "held_out", "lang_pred", "score", "entropy", "symbols", "rejected")
 
 
