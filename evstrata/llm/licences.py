@@ -1,10 +1,10 @@
 """Licence scans with a trained paragraph classifier (operator 4).
 
-A multinomial logistic regression over word 1- to 3-grams tells licence families apart.  Only
-n-grams with a key word are features, so a paragraph without one has the logits of the intercepts,
-which are those of the unknown class: skipping it is exact, not a shortcut.  Probabilities below a
-threshold calibrated on the training notices are unknown too, and a prediction is confirmed when
-the paragraph holds enough of one of its family's templates.
+A multinomial logistic regression over word 1- to 3-grams tells licence families apart.  All
+n-grams of the notices and other sentences are features; a line without any has the logits of the
+intercepts, which are those of the unknown class, and is neither scored nor counted.  Probabilities
+below a threshold calibrated on the training notices are unknown too, and a prediction is confirmed
+when the line holds enough of one of its family's templates.
 
 Defined results: a null or empty text has no licence; repeated rows get equal rows each; an empty
 table gives an empty result; extra columns are ignored; of equally probable families the first in
@@ -44,12 +44,8 @@ OTHERS = (
     "Redistribution of wealth was the subject of the debate.", "The museum charges no fee and asks for no permission.", "The licence of the radio station ends in March.", "Proprietary trading was banned at the bank.",
     "She was licensed as a nurse in 1998.", "Warranty claims have to be sent by post.", "The version under discussion was released last year.", "The public works department is closed.",
 )
-KEY_WORDS = ("license", "licensed", "licence", "licenced", "copyright", "copyrighted", "apache", "gnu", "gpl", "lgpl", "agpl", "bsd", "mozilla", "mpl", "cc", "cc0", "commons", "spdx", "permission", "redistribution", "redistribute", "reserved", "proprietary", "warranty")
-
 UNKNOWN = "unknown"
 NO_WORD = "[^a-z0-9]+"
-#: The first look at a letter spares most places the alternatives.
-KEYED = "(?<![a-zA-Z0-9])(?=[" + "".join(sorted({c for w in KEY_WORDS for c in (w[0], w[0].upper())})) + "])(?i:" + "|".join(KEY_WORDS) + ")(?![a-zA-Z0-9])"
 
 
 def word_list(text: str) -> list[str]:
@@ -57,9 +53,8 @@ def word_list(text: str) -> list[str]:
 
 
 def grams(words: list[str], upto: int = 3) -> set[str]:
-    """All n-grams with a key word."""
-    keys = set(KEY_WORDS)
-    return {" ".join(words[i : i + n]) for n in range(1, upto + 1) for i in range(len(words) - n + 1) if keys & set(words[i : i + n])}
+    """All n-grams."""
+    return {" ".join(words[i : i + n]) for n in range(1, upto + 1) for i in range(len(words) - n + 1)}
 
 
 @dataclass(frozen=True)
@@ -75,7 +70,7 @@ def train(copies: int = 12, rounds: int = 400, rate: float = 0.5, ridge: float =
     """Fit on the notices, on copies of them in odd surroundings with a word missing, and on the other sentences."""
     rng = np.random.default_rng(seed)
     classes = (*sorted(NOTICES), UNKNOWN)
-    filler = [w for s in OTHERS for w in word_list(s) if w not in KEY_WORDS]
+    filler = [w for s in OTHERS for w in word_list(s)]
     rows: list[tuple[set[str], int]] = []
     for y, name in enumerate(classes):
         for text in OTHERS if name == UNKNOWN else NOTICES[name]:
@@ -117,7 +112,7 @@ def train(copies: int = 12, rounds: int = 400, rate: float = 0.5, ridge: float =
     wrong = np.array([p[i, :-1].max() for i, (_, c) in enumerate(rows) if c == len(classes) - 1])
     # Midway between what nearly all notices reach and what no other sentence does.
     threshold = float((max(wrong.max(), 0.3) + max(np.quantile(right, 0.02), 0.3)) / 2)
-    strong = np.abs(w).max(1) > 0.01
+    strong = np.abs(w).max(1) > 0
     return Classifier(classes, {t: tuple(map(float, w[place[t]])) for t in names if strong[place[t]]}, tuple(map(float, b)), threshold)
 
 
@@ -128,7 +123,7 @@ def _runs(n: int) -> Column:
 
 
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.6) -> DataFrame:
-    """Paragraphs with a key word: ``doc_id, print, paragraph, family, probability, confirmed``."""
+    """Lines with an n-gram of the classifier: ``doc_id, print, paragraph, family, probability, confirmed``."""
     spark = docs.sparkSession
     model = train()
     k = len(model.classes)
@@ -140,14 +135,14 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             parts = {" ".join(words[j : j + 3]) for j in range(len(words) - 2)} or {" ".join(words)}
             templates += [(f"{family}/{i}", family, part, len(parts)) for part in parts]
     templates = F.broadcast(spark.createDataFrame(templates, "template string, family string, gram string, parts int"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(KEYED))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).filter(F.col("line").rlike(KEYED))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
     words = F.filter(F.split(F.lower("line"), NO_WORD, -1), lambda x: x != "")
     rows = rows.select("doc_id", "print", "paragraph", words.alias("w")).distinct()
     every = F.concat(*(_runs(n) for n in (1, 2, 3)))
     parts = rows.select("doc_id", "print", "paragraph", F.explode(F.array_distinct(every)).alias("gram"))
     keys = ["doc_id", "print", "paragraph"]
-    logits = parts.join(weights, "gram", "left").groupBy(*keys).agg(*(F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"z{i}") for i in range(k)))
+    logits = parts.join(weights, "gram").groupBy(*keys).agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)))
     z = [F.col(f"z{i}") + F.lit(float(model.bias[i])) for i in range(k)]
     top = F.greatest(*z)
     best = F.lit(UNKNOWN)
@@ -167,7 +162,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     by_doc = found.groupBy("doc_id", "print").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("family")))), ",").alias("families"), F.count_if(known).alias("n_licence_paragraphs"), F.count_if(known & F.col("confirmed")).alias("n_confirmed"), F.count_if(~known).alias("n_unknown")
     )
-    rows = docs.select("doc_id", F.when(F.col("text").rlike(KEYED), F.xxhash64("text")).alias("print"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("print"))
     out = rows.join(by_doc, ["doc_id", "print"], "left")
     return out.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_licence_paragraphs", "n_confirmed", "n_unknown")))
 
