@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,9 +21,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
         hooks = seen.select(F.col("l").alias("r"), "m").union(seen.select(F.col("u").alias("r"), "m")).groupBy("r").agg(F.min("m").alias("m"))
         one = seen.select("u", F.col("l").alias("was"), F.least("l", "m").alias("l")).join(hooks.select(F.col("r").alias("l"), F.col("m").alias("h")), "l", "left").select("u", "was", F.coalesce("h", "l").alias("l"))
-        two = cut(one, "labels")
-        up = two.select(F.col("u").alias("l"), F.col("l").alias("h"))
-        two = cut(two.join(up, "l", "left").select("u", "was", F.least("l", F.coalesce("h", "l")).alias("l")), "labels")
-        labels = two.select("u", "l")
-        if two.filter("l <> was").isEmpty():
+        half = cut(one, "labels")
+        forget(labels)
+        up = half.select(F.col("u").alias("l"), F.col("l").alias("h"))
+        labels = cut(half.join(up, "l", "left").select("u", "was", F.least("l", F.coalesce("h", "l")).alias("l")), "labels")
+        forget(half)
+        if labels.filter("l <> was").isEmpty():
+            forget(edges)
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

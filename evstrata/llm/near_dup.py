@@ -3,33 +3,38 @@
 One hash per shingle picks a register by its top bits; the register keeps the smallest rest as a
 leading-zero count and mantissa bits.  Empty registers borrow from filled ones in an order fixed by
 their number, so short documents band like long ones.  Documents are collapsed to distinct sets
-first; bands of registers propose links, a collision-corrected estimate prunes them, and whole sets
-decide.
+first; bands of registers propose links and whole sets decide.  An estimate of the similarity,
+corrected for the collisions expected of sets of these sizes, spares large sets that are far apart
+the comparison; where it could err with a probability above 1e-12 it is not asked.
 
 Every bucket is settled completely without expanding it to pairs: its members are held against one
 pivot, what that links becomes one component, and only buckets still holding several components are
-examined further, small ones pair by pair and large ones in blocks whose intersections come from one
-matrix product and of which only links leave the task.
+examined further.  Small ones are compared pair by pair; of large ones, what lies outside the most
+common component is compared, in blocks, with everything, intersections coming from one matrix
+product.  Of a block only links that join components leave the task.
 
 Defined results: a null or wordless text has no shingles and is linked with nothing; fewer words
-than ``k`` make one shingle of the whole sequence; rows repeating a ``doc_id`` share its node, and
-each gets its own result row; a null ``doc_id`` is in no component; extra columns are ignored.
+than ``k`` make one shingle of the whole sequence; texts of equal sets are linked; rows repeating a
+``doc_id`` share its node whatever their texts are, and each gets its own result row; a null
+``doc_id`` is in no component and kept; a text is read whole, however long; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
 from .components import connected_components
-from .shared import cut, small, table
+from .shared import cut, small, table, text_key
 
 U64 = np.uint64
 
@@ -40,7 +45,7 @@ class Registers:
 
     index_bits: int = 8
     mantissa_bits: int = 10
-    rows: int = 5
+    rows: int = 4
 
     @property
     def count(self) -> int:
@@ -57,8 +62,10 @@ class Rule:
 
     k: int = 5
     percent: int = 75
-    #: Standard errors below the threshold at which an estimate still goes to verification.
-    slack: float = 5.0
+    #: Sets of fewer shingles leave registers empty, and are compared whatever the estimate says.
+    estimate_from: int = 2048
+    #: Estimates err by so much only with a probability below this.
+    error: float = 1e-12
     #: Buckets of more members are compared in blocks of ``block`` documents.
     pair_limit: int = 32
     block: int = 512
@@ -96,10 +103,45 @@ def band_keys(regs: np.ndarray, shape: Registers) -> np.ndarray:
     return total.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, shape: Registers) -> float:
-    """Share of equal registers, less what unequal minima agree by chance."""
-    chance = 0.5 ** (shape.mantissa_bits + 1)
-    return max(0.0, (float(np.mean(a == b)) - chance) / (1 - chance))
+@lru_cache(maxsize=1 << 14)
+def _chance(a: int, b: int, shape: Registers) -> float:
+    """Probability that filled registers of unrelated sets are equal; sizes in quarters of a doubling."""
+    n, m = 2 ** (a / 4), 2 ** (b / 4)
+    levels = 1 << shape.mantissa_bits
+    octave = np.arange((1 << (16 - shape.mantissa_bits)) - 1)
+    # Code c of an octave holds the minima of a register between these shares of its range.
+    edge = 2.0 ** -(octave[:, None] + 1) * (1 + np.arange(levels + 1) / levels)
+
+    def mass(size: float) -> np.ndarray:
+        below = -np.expm1(size * np.log1p(-edge / shape.count))
+        return np.diff(below, axis=1) / -np.expm1(size * np.log1p(-1 / shape.count))
+
+    return float((mass(n) * mass(m)).sum())
+
+
+def chance(n: int, m: int, shape: Registers) -> float:
+    """How often registers of two disjoint sets of ``n`` and ``m`` shingles collide."""
+    return _chance(round(4 * math.log2(n)), round(4 * math.log2(m)), shape)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int, shape: Registers) -> float:
+    """Share of equal registers, less what unequal minima of sets of these sizes agree by chance."""
+    c = chance(n, m, shape)
+    return max(0.0, (float(np.mean(a == b)) - c) / (1 - c))
+
+
+@lru_cache(maxsize=16)
+def sure_below(rule: Rule, shape: Registers) -> float:
+    """The greatest estimate that a linked pair falls below with a probability of at most ``rule.error`` (Chernoff)."""
+    share = rule.percent / 100
+    if not 0 < share < 1:
+        return -1.0
+    lo, hi = 0.0, share
+    for _ in range(60):
+        x = (lo + hi) / 2
+        gap = (x * math.log(x / share) if x else 0.0) + (1 - x) * math.log((1 - x) / (1 - share))
+        lo, hi = (x, hi) if shape.count * gap >= -math.log(rule.error) else (lo, x)
+    return lo - 2 / shape.count
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
@@ -128,7 +170,7 @@ def _sketch(k: int, shape: Registers):
                 if found:
                     for place, value in zip(where, band_keys(np.array(found), shape), strict=True):
                         keys[place] = value
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "print", "keys"])
 
     return run
 
@@ -142,36 +184,33 @@ def _payload(k: int, shape: Registers):
             data, at = hashing.strings(batch.column(1))
             for i, j in hashing.slices(at):
                 sets = list(hashing.shingle_sets(data, at[i : j + 1], k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([registers(s, shape, order).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "regs", "shingles"]
-                )
+                # A doc_id may also carry a text without words.
+                held = [x for x in range(j - i) if len(sets[x])]
+                regs = [registers(sets[x], shape, order).tobytes() for x in held]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(held, pa.int64())), pa.array(regs, pa.binary()), pa.array([sets[x].tobytes() for x in held], pa.binary())], ["id", "regs", "shingles"])
 
     return run
 
 
-def _verify(rule: Rule, shape: Registers):
-    share = rule.percent / 100
-    least = share - rule.slack * (share * (1 - share) / shape.count) ** 0.5
+def linked(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, rule: Rule, shape: Registers) -> bool:
+    """Whether two sorted sets link: by their sizes, by the estimate where it is sure, and by themselves."""
+    small_, large = sorted((len(x), len(y)))
+    if 100 * small_ < rule.percent * large:
+        return False
+    if small_ >= rule.estimate_from and estimate(rx, ry, len(x), len(y), shape) < sure_below(rule, shape):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    common = int((x[at] == y).sum())
+    return 100 * common >= rule.percent * (len(x) + len(y) - common)
+
 
+def _verify(rule: Rule, shape: Registers):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            known: OrderedDict[int, np.ndarray] = OrderedDict()
-            a, ra, sa, rb, sb = (batch.column(i) for i in (0, 2, 3, 4, 5))
-            for i in range(batch.num_rows):
-                if estimate(np.frombuffer(ra[i].as_buffer(), np.uint16), np.frombuffer(rb[i].as_buffer(), np.uint16), shape) < least:
-                    continue
-                pivot = a[i].as_py()
-                if pivot not in known:
-                    known.clear()
-                    known[pivot] = np.frombuffer(sa[i].as_buffer(), np.uint64)
-                x, y = known[pivot], np.frombuffer(sb[i].as_buffer(), np.uint64)
-                if min(len(x), len(y)) * 100 < rule.percent * max(len(x), len(y)):
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                if 100 * common >= rule.percent * (len(x) + len(y) - common):
-                    keep.append(i)
+            ra, sa, rb, sb = (batch.column(i) for i in (2, 3, 4, 5))
+            sets = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint64)
+            codes = lambda c, i: np.frombuffer(c[i].as_buffer(), np.uint16)
+            keep = [i for i in range(batch.num_rows) if linked(sets(sa, i), sets(sb, i), codes(ra, i), codes(rb, i), rule, shape)]
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
@@ -179,7 +218,7 @@ def _verify(rule: Rule, shape: Registers):
 
 
 def linked_in_block(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """All links between documents of different components: between sides 0 and 1, or within side 0 alone.
+    """Links that join the components that documents of sides 0 and 1, or of side 0 alone, link: a forest of all links.
 
     Intersections are exact: products of 0/1 incidence columns of the shingles that several documents have.
     """
@@ -203,7 +242,23 @@ def linked_in_block(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sets:
         common += part[left] @ part[right].T
     union = sizes[left][:, None] + sizes[right][None, :] - common
     good = (100 * common >= percent * union) & (comps[left][:, None] != comps[right][None, :])
-    return [(int(ids[left[i]]), int(ids[right[j]])) for i, j in zip(*np.nonzero(good), strict=True)]
+    i, j = np.nonzero(good)
+    one, two = comps[left[i]], comps[right[j]]
+    _, first = np.unique(np.stack((np.minimum(one, two), np.maximum(one, two)), axis=1), axis=0, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    out = []
+    for k in sorted(first.tolist()):
+        a, b = find(int(one[k])), find(int(two[k]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(ids[left[i[k]]]), int(ids[right[j[k]]])))
+    return out
 
 
 def _block_links(rule: Rule):
@@ -217,28 +272,37 @@ def _block_links(rule: Rule):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(), shape: Registers = Registers()) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per document: ``doc_id, n_shingles, component_id, kept, text_key``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(texts.mapInArrow(_sketch(rule.k, shape), "doc_id long, n_shingles long, print binary, keys array<long>"), "sketches")
+    sketches = texts.select("doc_id", "text", text_key().alias("text_key"))
+    sketches = cut(sketches.mapInArrow(_sketch(rule.k, shape), "doc_id long, text_key string, n_shingles long, print binary, keys array<long>"), "sketches")
     known = sketches.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     reps = cut(reps, "reps")
+    placed = cut(known.select("doc_id", "text_key", "n_shingles", "print").join(reps.select("print", "rep"), "print").drop("print"), "placed")
+    # A doc_id with several texts is one node.
+    shared = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id", "low")
+    same = placed.join(shared, "doc_id").filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+
+    # Minima and maxima shrink before the shuffle, so a key that many documents have costs no task more than others.
     rows = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    members = rows.select("id", "key", F.min("id").over(bucket).alias("pivot"), F.max("id").over(bucket).alias("top")).filter("pivot < top").select("key", "id", "pivot")
-    members = cut(members, "members")
+    buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").select("key", "pivot")
+    members = cut(rows.join(buckets, "key").select("key", "id", "pivot"), "members")
 
+    # The payload of a node is every text that has its doc_id, each once.
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    # A repeated doc_id may carry several texts; the payload is that of the set collapsed under it.
-    payload = cut(texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_payload(rule.k, shape), "id long, regs binary, shingles binary"), "payload")
+    payload = texts.join(small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    payload = cut(payload.mapInArrow(_payload(rule.k, shape), "id long, regs binary, shingles binary"), "payload")
 
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut(_verified(stars, payload, rule, shape), "links")
+    first = cut(_verified(stars, payload, rule, shape).unionByName(same), "links")
     labels = connected_components(first)
 
-    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    sizes = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    mixed = cut(placed.join(sizes, "key").select("key", "id", "comp", "size"), "mixed")
+    of_node = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    parts = of_node.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).filter("comps > 1").select("key", "size", "most.comp", "most.n")
+    sizes = sizes.select("key", "size", F.col("comp").alias("main"), F.col("n").alias("in_main"))
+    mixed = cut(of_node.join(sizes, "key").select("key", "id", "comp", "size", "main", "in_main"), "mixed")
 
     few = mixed.filter(F.col("size") <= rule.pair_limit)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.comp <> y.comp")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -246,10 +310,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third = _blocks(mixed.filter(F.col("size") > rule.pair_limit), payload, rule)
     labels = connected_components(first.unionByName(cut(second.unionByName(third), "links")))
 
-    out = known.select("doc_id", "n_shingles", "print").join(reps.select("print", "rep"), "print").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = sketches.filter(F.col("print").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "text_key"]
+    rest = sketches.filter(F.col("print").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    out = out.select(*columns).unionByName(rest)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
 
 
 def _verified(pairs: DataFrame, payload: DataFrame, rule: Rule, shape: Registers) -> DataFrame:
@@ -260,10 +325,16 @@ def _verified(pairs: DataFrame, payload: DataFrame, rule: Rule, shape: Registers
 
 
 def _blocks(mixed: DataFrame, payload: DataFrame, rule: Rule) -> DataFrame:
-    """Links inside large buckets: blocks by a hash of the id, each pair of blocks one unit of work."""
-    count = F.ceil(F.col("size") / rule.block).cast("int")
-    placed = mixed.select("key", "id", "comp", count.alias("n"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block"))
-    units = placed.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    """Links inside large buckets, blocks by a hash of the id, each pair of blocks one unit of work.
+
+    Blocks ``0 .. few - 1`` hold what is outside the bucket's most common component, the others that component,
+    whose blocks are not compared with each other: it is linked already.
+    """
+    some = lambda n: F.ceil(n / rule.block).cast("int")
+    others, main = some(F.col("size") - F.col("in_main")), some(F.col("in_main"))
+    mine = F.col("comp") == F.col("main")
+    block = F.when(mine, others + F.pmod(F.xxhash64("id"), main)).otherwise(F.pmod(F.xxhash64("id"), others)).cast("int")
+    units = mixed.select("key", "id", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.when(mine, others).otherwise(others + main) - 1)).alias("other"))
     units = units.select("key", "id", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     return units.join(payload.select("id", "shingles"), "id").groupBy("key", "lo", "hi").applyInArrow(_block_links(rule), "a long, b long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are a few dozen bytes wide is broadcast.
@@ -30,14 +30,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, p = _store(spark, path)
+    store.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``cut`` wrote for ``df``, which nothing reads any more; the rest goes when the driver ends."""
+    drop_path(df.sparkSession, df._scratch)
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder through Hadoop's file system API, whichever store it lives in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    store, p = _store(spark, path)
+    store.delete(p, True)
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """What tells texts apart where ids are null or repeated: a digest, empty for a null text."""
+    return F.coalesce(F.md5(text), F.lit(""))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
