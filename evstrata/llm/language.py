@@ -2,17 +2,19 @@
 
 Each language has an interpolated Kneser-Ney model over 4-grams of lower-cased letters, every run of
 other characters being one space.  Counts cover all training documents but those that calibrate the
-rejection and are summed per task before they are shuffled; discounts, continuation counts and probabilities are DataFrame
-aggregations.  The operator addresses n-grams by their whole 64-bit hashes, so none is merged with
-another or dropped.  A model of up to ``CELLS`` n-grams times languages is broadcast, in arrays sorted
-by hash with one column per language; a larger one stays a table that is joined with the texts' n-grams.  The language of lowest cross-entropy per character wins; a document is rejected if that
-cross-entropy lies beyond what labelled documents of its language and length show that are left out
-of the counts.
+rejection, and are summed per task before they are shuffled; discounts, continuation counts and
+probabilities are DataFrame aggregations.  N-grams are addressed by whole 64-bit hashes, and none is
+merged with another or dropped.  A model of up to ``CELLS`` n-grams times languages is broadcast, in
+arrays sorted by hash with one column per language; a larger one stays a table that is joined with
+the texts' n-grams.  The language of lowest cross-entropy per character wins, and the score is its
+share of the likelihoods of the whole text.  A document is rejected if its cross-entropy lies beyond
+what labelled documents of its language and length show that are left out of the counts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is
 every text when nothing can be learned from; of equal cross-entropies the first language in
 alphabetical order wins; repeated rows get equal rows each; a null ``doc_id`` is never trained on;
-extra columns are ignored.
+a text is counted and scored whole, however long; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import mix64
-from .shared import cut, table
+from .shared import cut, table, text_key
 
 U64 = np.uint64
 ORDER = 4
-#: Default of ``learn`` for small models; n-grams that share a slot become one.
-SLOT_BITS = 22
-#: What the operator uses: whole hashes.
-KEY_BITS = 64
-#: Rows times languages up to which a model is broadcast.
+#: Rows times languages up to which a model is broadcast; each language counts as a few at least, for what a row itself takes.
 CELLS = 1 << 23
+LEAST_LANGS = 4
 PAD, SPACE = 1, 32
 _M = [pow(0xF1357AEA2E62A9C5, j, 1 << 64) for j in range(ORDER)]
 #: Characters counted or scored at a time.
@@ -138,22 +137,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(p.view(np.int64)) for p in parts), pa.array(n)], ["lang", *_COUNT_NAMES])
 
 
-def _slot(name: str, bits: int) -> Column:
-    if bits == KEY_BITS:
-        return F.col(name)
-    return F.shiftrightunsigned(F.col(name), 64 - bits).cast("int")
-
-
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return hashes.view(np.int64) if bits == KEY_BITS else (hashes >> U64(64 - bits)).astype(np.int32)
-
-
 @dataclass
 class Model:
     """``slots[k]`` sorted, ``rows[k]`` log probabilities by language; ``back_slots``/``back`` the weights of unseen continuations."""
 
     langs: list[str]
-    bits: int
     slots: list[np.ndarray]
     rows: list[np.ndarray]
     back_slots: list[np.ndarray]
@@ -220,18 +208,15 @@ def count_levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return Levels(share, context)
 
 
-def _collect(levels: Levels, bits: int) -> Model:
-    share, context = levels.share, levels.context
-    if bits < KEY_BITS:
-        share = share.groupBy("k", _slot("g", bits).alias("g"), "lang").agg(*(F.max_by(c, F.struct("n", "p")).alias(c) for c in ("x", "s", "p", "spare")))
-    share = share.select("k", "g", "lang", _slot("x", bits).alias("x"), _slot("s", bits).alias("s"), "p", "spare").toArrow()
-    weight = context.filter("k > 0").groupBy("k", _slot("x", bits).alias("x"), "lang").agg(F.max_by("spare", "t").alias("spare")).toArrow()
-    return _assemble(share, weight, bits)
+def _collect(levels: Levels) -> Model:
+    share = levels.share.select("k", "g", "lang", "x", "s", "p", "spare").toArrow()
+    weight = levels.context.filter("k > 0").select("k", "x", "lang", "spare").toArrow()
+    return _assemble(share, weight)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = SLOT_BITS) -> Model:
-    """A model of every language among the rows of ``docs``."""
-    return _collect(count_levels(docs, text_col, lang_col), bits)
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of every language among the rows of ``docs``, on the driver."""
+    return _collect(count_levels(docs, text_col, lang_col))
 
 
 @dataclass
@@ -241,7 +226,7 @@ class Tables:
     langs: list[str]
     logs: list[DataFrame]
     back: list[DataFrame | None]
-    floor: float
+    floor: list[float]
 
 
 def tabulate(levels: Levels) -> Tables:
@@ -249,6 +234,7 @@ def tabulate(levels: Levels) -> Tables:
     share = cut(levels.share, "shares")
     langs = sorted(r["lang"] for r in share.select("lang").distinct().collect())
     floor = -float(np.log(4.0 * max(2, int(share.filter("k = 0").count() / max(1, len(langs))))))
+    unseen = dict(share.filter("k = 0").groupBy("lang").agg((F.log(F.max("spare")) + floor).alias("log")).collect())
     logs, back, below = [], [None], None
     by_lang = lambda c: F.map_from_entries(F.collect_list(F.struct("lang", c)))
     for k in range(ORDER):
@@ -261,7 +247,7 @@ def tabulate(levels: Levels) -> Tables:
         logs.append(below.groupBy("g").agg(by_lang("log").alias("logs")))
         if k:
             back.append(levels.context.filter(F.col("k") == k).groupBy("x").agg(by_lang(F.log("spare")).alias("back")))
-    return Tables(langs, logs, back, floor)
+    return Tables(langs, logs, back, [unseen[x] for x in langs])
 
 
 def learn_any(docs: DataFrame, cells: int = CELLS) -> Model | Tables:
@@ -269,7 +255,7 @@ def learn_any(docs: DataFrame, cells: int = CELLS) -> Model | Tables:
     levels = count_levels(docs)
     levels = Levels(cut(levels.share, "shares"), levels.context)
     size = levels.share.agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("langs")).first()
-    return _collect(levels, KEY_BITS) if size["rows"] * size["langs"] <= cells else tabulate(levels)
+    return _collect(levels) if size["rows"] * max(LEAST_LANGS, size["langs"]) <= cells else tabulate(levels)
 
 
 def _columns(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
@@ -279,20 +265,22 @@ def _columns(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
+def _assemble(share: pa.Table, weight: pa.Table) -> Model:
     langs = sorted(pc.unique(share.column("lang")).to_pylist())
     share, weight = _columns(share, langs), _columns(weight, langs)
     alphabet = max(2, int((share["k"] == 0).sum() / max(1, len(langs))))
-    kind = np.int64 if bits == KEY_BITS else np.int32
-    empty = np.zeros(0, kind)
+    empty = np.zeros(0, np.int64)
     blank = np.zeros((0, len(langs)), np.float32)
-    m = Model(langs, bits, [empty] * ORDER, [blank] * ORDER, [empty] * ORDER, [blank] * ORDER, np.full(len(langs), -np.log(4.0 * alphabet), np.float32))
+    # An unseen symbol has its part of what the seen ones leave.
+    floor = np.full(len(langs), -np.log(4.0 * alphabet))
+    floor[share["lang"][share["k"] == 0]] = np.log(share["spare"][share["k"] == 0]) - np.log(4.0 * alphabet)
+    m = Model(langs, [empty] * ORDER, [blank] * ORDER, [empty] * ORDER, [blank] * ORDER, floor.astype(np.float32))
     for k in range(1, ORDER):
         mine = weight["k"] == k
         slots, at = np.unique(weight["x"][mine], return_inverse=True)
         rows = np.zeros((len(slots), len(langs)), np.float32)
         rows[at, weight["lang"][mine]] = np.log(weight["spare"][mine])
-        m.back_slots[k], m.back[k] = slots.astype(kind), rows
+        m.back_slots[k], m.back[k] = slots, rows
     for k in range(ORDER):
         mine = share["k"] == k
         lang, p = share["lang"][mine], share["p"][mine]
@@ -305,9 +293,8 @@ def _assemble(share: pa.Table, weight: pa.Table, bits: int) -> Model:
             where, known = m._find(m.back_slots[k], x)
             spare = np.where(known[:, None], m.back[k][where] if len(m.back_slots[k]) else 0.0, 0.0)
         else:
-            lower, spare = np.broadcast_to(m.floor, direct.shape), np.zeros(direct.shape)
-            spare[at, lang] = np.log(share["spare"][mine])
-        m.slots[k], m.rows[k] = slots.astype(kind), np.log(direct + np.exp(spare + lower)).astype(np.float32)
+            lower, spare = np.broadcast_to(m.floor, direct.shape), 0.0
+        m.slots[k], m.rows[k] = slots, np.log(direct + np.exp(spare + lower)).astype(np.float32)
     return m
 
 
@@ -323,7 +310,7 @@ def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     for i, part in _chunks(texts):
         s, begin = read_symbols(part)
         s = np.concatenate(([PAD], s)).astype(np.uint32)
-        all_slots = [_slots(c, m.bits) for c in codes(s)]
+        all_slots = [c.view(np.int64) for c in codes(s)]
         scored = np.flatnonzero(s[ORDER:] != PAD) + 1
         g = [c[scored] for c in all_slots]
         x = [all_slots[0][scored]] + [c[scored - 1] for c in all_slots[:-1]]
@@ -353,8 +340,7 @@ def _score(shared, extra: list[str]):
                 if m.langs:
                     entropy, size = score_texts(m, texts)
                     best = entropy.argmin(axis=1)
-                    # Evidence beyond a hundred symbols adds nothing to a posterior that is meant to be read.
-                    weighed = -(entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(size, 100)[:, None]
+                    weighed = -(entropy - entropy.min(axis=1, keepdims=True)) * size[:, None]
                     score = 1 / np.exp(weighed).sum(axis=1)
                     least = entropy.min(axis=1)
                 else:
@@ -402,7 +388,7 @@ def identify_by_join(docs: DataFrame, tables: Tables, keys: list[str], text_col:
             grams = grams.join(tables.back[k].select(F.col("x").alias(f"x{k + 1}"), F.col("back").alias(f"back{k}")), f"x{k + 1}", "left")
     columns = []
     for i, lang in enumerate(tables.langs):
-        log = F.lit(tables.floor)
+        log = F.lit(tables.floor[i])
         for k in range(ORDER):
             log = F.coalesce(F.col(f"log{k}")[lang], (log + F.coalesce(F.col(f"back{k}")[lang], F.lit(0.0))) if k else log)
         columns.append(log.alias(f"l{i}"))
@@ -411,7 +397,7 @@ def identify_by_join(docs: DataFrame, tables: Tables, keys: list[str], text_col:
     out = rows.drop("text").join(sums.withColumnRenamed("row", "_row"), "_row", "left")
     least = F.array_min("e")
     best = F.element_at(F.array(*map(F.lit, tables.langs)), F.array_position("e", least).cast("int"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp((F.array_min("e") - x) * F.least(F.col("symbols"), F.lit(100))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp((F.array_min("e") - x) * F.col("symbols")))
     letter = F.coalesce("letter", F.lit(False))
     return out.select(*keys, F.when(letter, best).otherwise("und").alias("lang_pred"), F.when(letter, 1 / total).otherwise(0.0).alias("score"), F.when(F.col("symbols") > 0, least).otherwise(0.0).alias("entropy"), F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
@@ -459,18 +445,18 @@ def calibrating(id_col: str = "doc_id") -> Column:
 
 
 def language_of(docs: DataFrame, spare: int = 5, cells: int = CELLS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, entropy, symbols, rejected``, learned from the documents that are not held out.
+    """``doc_id, held_out, lang_pred, score, entropy, symbols, rejected, text_key``, learned from the documents that are not held out.
 
     A fifth of those is not counted either but tells what the language's entropies are; a language that
     has fewer than ``spare`` other documents is learned from all of them.
     """
-    docs = docs.select("doc_id", "text", "lang", held_out().alias("held_out"), calibrating().alias("_apart"))
+    docs = docs.select("doc_id", "text", "lang", text_key().alias("text_key"), held_out().alias("held_out"), calibrating().alias("_apart"))
     counted = docs.filter("NOT held_out AND lang IS NOT NULL").groupBy("lang").agg(F.count_if(~F.col("_apart")).alias("n"))
     plenty = F.broadcast(counted.filter(F.col("n") >= spare).select("lang", F.lit(True).alias("_plenty")))
     docs = docs.join(plenty, "lang", "left").withColumn("calibrates", F.col("_apart") & F.coalesce("_plenty", F.lit(False)))
     model = learn_any(docs.filter("NOT held_out AND NOT calibrates"), cells)
-    found = cut((identify if isinstance(model, Model) else identify_by_join)(docs, model, ["doc_id", "held_out", "lang", "calibrates"]), "languages")
-    return with_rejection(found).select("doc_id", "held_out", "lang_pred", "score", "entropy", "symbols", "rejected")
+    found = cut((identify if isinstance(model, Model) else identify_by_join)(docs, model, ["doc_id", "held_out", "lang", "calibrates", "text_key"]), "languages")
+    return with_rejection(found).select("doc_id", "held_out", "lang_pred", "score", "entropy", "symbols", "rejected", "text_key")
 
 
 def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:

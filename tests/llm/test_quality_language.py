@@ -1,6 +1,10 @@
+import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from evstrata.llm import language, quality
 from evstrata.llm.shared import table
 
@@ -76,10 +80,81 @@ def test_nothing_to_learn_from(spark):
     assert language.language_of(docs).first()["lang_pred"] == "und"
 
 
-def test_model_is_a_distribution(spark):
-    """Over all symbols after a context, and against a direct Kneser-Ney computation on a small text."""
-    import numpy as np
+class DirectKneserNey:
+    """Interpolated Kneser-Ney by the book, over dictionaries of tuples."""
+
+    def __init__(self, texts, alphabet):
+        runs = [self.read(t) for t in texts]
+        top = Counter(tuple(r[i - 3 : i + 1]) for r in runs for i in range(3, len(r)))
+        self.n = {4: top}
+        for k in (3, 2, 1):
+            # How many different symbols stand before a shorter n-gram.
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.d, self.total, self.kinds = {}, {}, {}
+        for k in (1, 2, 3, 4):
+            ones, twos = (sum(v == i for v in self.n[k].values()) for i in (1, 2))
+            self.d[k] = (ones + 0.5) / (ones + 2 * twos + 1)
+            self.total[k], self.kinds[k] = Counter(), Counter()
+            for g, v in self.n[k].items():
+                self.total[k][g[:-1]] += v
+                self.kinds[k][g[:-1]] += 1
+        self.floor = 1 / (4 * alphabet)
+
+    @staticmethod
+    def read(text):
+        out = [1, 1, 1]
+        for c in text.lower():
+            s = ord(c) if c.isalpha() else 32
+            if s != 32 or out[-1] != 32:
+                out.append(s)
+        return out
+
+    def p(self, g):
+        if not g:
+            return self.floor
+        k, context = len(g), g[:-1]
+        if not self.total[k][context]:
+            return self.p(g[1:])
+        direct = max(self.n[k][g] - self.d[k], 0) / self.total[k][context]
+        return direct + self.d[k] * self.kinds[k][context] / self.total[k][context] * self.p(g[1:])
+
+    def entropy(self, text):
+        s = self.read(text)
+        return -sum(math.log(self.p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / (len(s) - 3)
+
+
+def test_entropies_equal_a_direct_computation(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 8)))
+    line = lambda letters, n: rng.choice(("", " ", "7, ")) + rng.choice((" ", ". ", "\n")).join(word(letters) for _ in range(n))
+    alphabets = {"x": "abcde", "y": "cdefgÉ", "z": "日本語文"}
+    rows = [(i, line(a, 60), lang) for i, (lang, a) in enumerate([*alphabets.items()] * 12)]
+    own = {lang: [t for _, t, of in rows if of == lang] for lang in alphabets}
+    alphabet = int(sum(len({s for t in ts for s in DirectKneserNey.read(t)[3:]}) for ts in own.values()) / len(own))
+    direct = {lang: DirectKneserNey(ts, alphabet) for lang, ts in own.items()}
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    texts = [line("abcdefgÉ日本q", 20) for _ in range(30)] + ["a", "  b", "日本", "\0c\0"]
+    entropy, size = language.score_texts(model, texts)
+    for t, row, n in zip(texts, entropy, size, strict=True):
+        assert n == len(DirectKneserNey.read(t)) - 3
+        for lang, e in zip(model.langs, row, strict=True):
+            assert abs(e - direct[lang].entropy(t)) < 1e-4, (t, lang)
+
+
+def test_score_is_the_share_of_the_likelihoods(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(80)
+    model = language.learn(docs)
+    rows = language.identify(docs.withColumn("own", docs["text"]), model, ["doc_id", "own"]).collect()
+    for r in rows:
+        if r["lang_pred"] == "und":
+            continue
+        entropy, size = language.score_texts(model, [r["own"]])
+        likelihood = [math.exp(-(e - entropy[0].min()) * size[0]) for e in entropy[0]]
+        assert abs(r["score"] - 1 / sum(likelihood)) < 1e-9 and r["lang_pred"] == model.langs[int(entropy[0].argmin())]
 
+
+def test_model_is_a_distribution(spark):
+    """Over all symbols after a context."""
     docs = spark.createDataFrame([(1, "abab abba baab", "x"), (2, "abba", "x")], "doc_id bigint, text string, lang string")
     m = language.learn(docs)
     symbols = [ord(c) for c in "ab "]
@@ -87,7 +162,7 @@ def test_model_is_a_distribution(spark):
         total = 0.0
         for s in symbols:
             seq = np.array([1, *context, s], np.uint32)
-            slots = [(c >> np.uint64(64 - m.bits)).astype(np.int32) for c in language.codes(seq)]
+            slots = [c.view(np.int64) for c in language.codes(seq)]
             g = [c[1:] for c in slots]
             x = [slots[0][1:]] + [c[:-1] for c in slots[:-1]]
             total += float(np.exp(m.logs(g, x, language.ORDER - 1))[0, 0])
