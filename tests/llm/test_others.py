@@ -1,8 +1,11 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import connect, differences
 
 from evstrata.llm import chat, decontaminate, licences, urls, warc
@@ -87,25 +90,86 @@ def test_rules_are_filed_under_their_rarest_token(spark):
 # ---------------------------------------------------------------- decontamination
 
 
+def longest_stretch(flags):
+    """Most matches of a stretch that begins and ends at one and of which three quarters match, by trying all."""
+    at = [i for i, f in enumerate(flags) if f]
+    best = 0
+    for i, a in enumerate(at):
+        for j in range(len(at) - 1, i + best - 1, -1):
+            if 4 * (j - i + 1) >= 3 * (at[j] - a + 1):
+                best = max(best, j - i + 1)
+                break
+    return best
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def best_overlap(doc, item):
+    """The most matches over all diagonals, word by word."""
+    best = 0
+    for shift in range(-len(item) + 1, len(doc)):
+        best = max(best, longest_stretch([0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(item)]))
+    return best
+
+
 def test_overlaps_equal_brute_force(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    rule = decontaminate.SeedRule()
-    vocabulary: dict[str, int] = {}
+    items = {r["item_id"]: words_of(r["text"]) for r in bench.collect()}
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    for r in docs.collect():
+        d = words_of(r["text"])
+        have = set(d)
+        # Fewer than twelve words in common cannot make an overlap of twelve.
+        near = {i: best_overlap(d, w) for i, w in items.items() if sum(x in have for x in w) >= 12 and len(set(w) & have) >= 6}
+        want = {i: n for i, n in near.items() if n >= 12}
+        assert got[r["doc_id"]]["item_ids"] == sorted(want) and got[r["doc_id"]]["matched_words"] == max(want.values(), default=0)
 
-    def numbers(text):
-        return np.array([vocabulary.setdefault(w, len(vocabulary)) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())], np.int64)
 
-    items = {r["item_id"]: numbers(r["text"]) for r in bench.collect()}
-    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(docs, bench).collect()}
-    for r in docs.collect():
-        d = numbers(r["text"])
-        want = []
-        for i, w in items.items():
-            a, b = np.nonzero(d[:, None] == w[None, :])
-            shifts, n = np.unique(a - b, return_counts=True)
-            if any(decontaminate.overlap(d, w, int(s), rule)[0] >= min(rule.least, len(w)) for s in shifts[n >= min(rule.least, len(w))]):
-                want.append(i)
-        assert got[r["doc_id"]] == sorted(want)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=60))
+def test_stretches_equal_all_stretches(flags):
+    rule = decontaminate.SeedRule()
+    item = np.arange(len(flags), dtype=np.uint64)
+    doc = np.where(np.array(flags, bool), item, np.uint64(1000)) if flags else item
+    matched, first, last = decontaminate.overlap(doc, item, 0, rule)
+    assert matched == longest_stretch(flags)
+    if matched:
+        assert flags[first] and flags[last] and sum(flags[first : last + 1]) == matched and 4 * matched >= 3 * (last - first + 1)
+
+
+def test_long_items_take_no_longer_than_they_are(spark):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 5000, 20_000)
+    changed = np.where(rng.random(20_000) < 0.3, 9999, words)
+    began = time.time()
+    matched, _, _ = decontaminate.overlap(changed.astype(np.uint64), words.astype(np.uint64), 0, decontaminate.SeedRule())
+    assert matched >= 12 and time.time() - began < 1
+    text = lambda w: " ".join(f"w{x}" for x in w)
+    docs = spark.createDataFrame([(1, text(changed)), (2, text(rng.integers(6000, 9000, 20_000)))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, text(words))], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_ids"]) for r in decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()] == [(1, [7]), (2, [])]
+
+
+@pytest.mark.parametrize("n", range(1, 20))
+def test_one_substitution_in_short_items(n, spark):
+    rule = decontaminate.SeedRule()
+    item = [f"b{i}" for i in range(n)]
+    docs = [(0, " ".join(["x", *item, "y"]))] + [(k + 1, " ".join(["x", *item[:k], "zzz", *item[k + 1 :], "y"])) for k in range(n)]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    for i, text in docs:
+        assert got[i] == (best_overlap(text.split(), item) >= min(12, n - n // 8) == rule.needed(n)), (n, i)
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, item), (1, item), (1, "clean words"), (None, "clean"), (2, None)], "doc_id bigint, text string").withColumn("text_key", table_column())
+    bench = spark.createDataFrame([(4, item), (3, item.upper()), (None, "c " + item)], "item_id bigint, text string").withColumn("item", table_column())
+    rows = sorted(((r["doc_id"], r["contaminated"], r["item_ids"]) for r in decontaminate.decontaminate(docs, bench).collect()), key=str)
+    assert rows == sorted([(None, True, [3, 4]), (1, True, [3, 4]), (1, False, []), (None, False, []), (2, False, [])], key=str)
+    nameless = decontaminate.decontaminate(docs, bench.filter("item_id is null"))
+    assert sorted((r["contaminated"], r["item_ids"]) for r in nameless.collect()) == [(False, [])] * 3 + [(True, [])] * 2
 
 
 def test_substitutions_and_edges(spark, edge_docs, no_docs):
