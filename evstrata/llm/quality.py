@@ -5,9 +5,10 @@ distribution per rule and class is fitted to the counts of vote patterns over al
 posterior probability of the good class replaces a list of conditions that all must hold.  Only the
 pattern counts, at most 3 ** (number of rules) rows, reach the driver.
 
-Defined results: a null or empty text has no words and fails the base; ties and repeated rows get
-equal rows each; an empty table gives an empty result; extra columns are ignored; a posterior of
-exactly one half keeps.
+Defined results: a null or empty text has no words and fails the base; equal texts get equal
+results, whether their ids are repeated, null or different; a text is measured whole, however long;
+an empty table gives an empty result; extra columns are ignored; a posterior of exactly one half
+keeps.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, table, text_key
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -125,9 +126,9 @@ def fit_votes(counts: list[tuple[tuple[int, ...], int]], rounds: int = 100, smoo
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[VoteRule, ...] = RULES) -> DataFrame:
-    """``id, counts, base_failed, quality (posterior), kept`` for each row of ``docs``."""
+    """``id, counts, base_failed, kept, quality`` (posterior) ``, text_key`` for each row of ``docs``."""
     spark = docs.sparkSession
-    found = measures(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text", (id_col,))
+    found = measures(docs.select(F.col(id_col), F.col(text_col).alias("text"), text_key(text_col).alias("text_key")), "text", (id_col, "text_key"))
     found = cut(found.withColumns({f"v_{r.name}": r.vote() for r in rules}), "measures")
     votes = [f"v_{r.name}" for r in rules]
     counts = [(tuple(x[v] for v in votes), x["n"]) for x in found.groupBy(*votes).agg(F.count("*").alias("n")).orderBy(*votes).collect()]
@@ -135,7 +136,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     out = found.join(F.broadcast(posterior), votes, "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "text_key")
 
 
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
