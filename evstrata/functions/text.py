@@ -24,9 +24,10 @@ def counted(n: Column, noun: str) -> Column:
 
 
 def json_value(value: Column) -> Column:
-    """A metadata value as JSON: lists, objects, quoted texts and decimal numbers stay, all else is quoted."""
+    """A metadata value as JSON: lists, objects, quoted texts and decimal numbers stay, all else is quoted and escaped."""
     ready = value.rlike(r'^\s*[\[{]') | value.rlike(r'^".*"$') | value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    # The value as the one field of an object, without what stands around it.
+    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     return F.when(ready, value).otherwise(quoted)
 
 
@@ -52,22 +53,52 @@ def check_name_pattern(pattern: str, switching: bool, check: bool = True) -> Non
 
 @dataclass(frozen=True)
 class MessageRule:
-    """A message of at least ``severity`` whose text (and place, if given) holds the parts is of class ``action``."""
+    """A message fits if it holds all ``parts`` and none of ``without``, and comes from a place that holds ``place``."""
 
     action: str
-    parts: tuple[str, ...]
-    place: str | None = None
-    severity: int = 0
-
-
-def classify(rules: list[MessageRule], severity: Column, place: Column, message: Column, fatal: int = 3000) -> Column:
-    """The action of the first rule that fits; without one, severe messages throw and others are reported."""
-    out = F.when(severity >= fatal, "throw").otherwise("error")
-    for rule in reversed(rules):
-        fits = severity >= rule.severity
-        for part in rule.parts:
-            fits = fits & message.contains(part)
-        if rule.place is not None:
-            fits = fits & place.contains(rule.place)
-        out = F.when(fits, rule.action).otherwise(out)
-    return out
+    parts: tuple[str, ...] = ()
+    place: str = ""
+    without: tuple[str, ...] = ()
+
+
+SUPPRESS, INFO, ERROR, THROW = "suppress", "info", "error", "throw"
+#: Fixed value: severities up to this one are information.
+INFO_LEVEL = 1000
+# Known messages by class, in the order in which the classes are asked.  What fits none is thrown.
+MESSAGE_RULES: tuple[MessageRule, ...] = (
+    MessageRule(SUPPRESS, ("no dictionary for class ", "Transient<", "ProductRegistry::Transients> is available")),
+    MessageRule(SUPPRESS, ("no dictionary for class ", "DoNotRecordParents is available")),
+    MessageRule(INFO, ("already in TClassTable",)),
+    MessageRule(INFO, ("matrix not positive definite",)),
+    MessageRule(INFO, ("number of iterations was insufficient",)),
+    MessageRule(INFO, ("bad integrand behavior",)),
+    MessageRule(INFO, ("dictionary",), without=("Error parsing payload code for class",)),
+    MessageRule(INFO, place="Fit"),
+    MessageRule(INFO, place="TDecompChol::Solve"),
+    MessageRule(INFO, place="THistPainter::PaintInit"),
+    MessageRule(INFO, place="TGClient::GetFontByName"),
+    MessageRule(INFO, place="TUnixSystem::GetHostByName"),
+    MessageRule(INFO, ("Ignoring trailing",), "TTree::ReadStream"),
+    MessageRule(INFO, ("DISPLAY not set",), "TUnixSystem::SetDisplay"),
+    MessageRule(INFO, place="TNetXNGFile::Open", without=("[FATAL]",)),
+    MessageRule(ERROR, place="TUnixSystem::DispatchSignals"),
+)
+
+
+def classify(severity: Column, place: Column, message: Column, rules: tuple[MessageRule, ...] = MESSAGE_RULES) -> Column:
+    """``suppress``, ``info``, ``error`` or ``throw``, asked in this order; a missing place or message reads ``?``."""
+    place, message = F.coalesce(place, F.lit("?")), F.coalesce(message, F.lit("?"))
+
+    def any_of(action: str) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            if r.action == action:
+                fits = place.contains(r.place)
+                for part in r.parts:
+                    fits = fits & message.contains(part)
+                for part in r.without:
+                    fits = fits & ~message.contains(part)
+                out = out | fits
+        return out
+
+    return F.when(any_of(SUPPRESS), SUPPRESS).when((severity <= INFO_LEVEL) | any_of(INFO), INFO).when(any_of(ERROR), ERROR).otherwise(THROW)

@@ -41,11 +41,6 @@ def read_positions(rows: DataFrame, positions: DataFrame, entry: str = "entry")
     return positions.join(rows, entry)
 
 
-def attach_parents(events: DataFrame, subruns: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each event with the columns of its sub-run and its run."""
-    return events.join(subruns, ["run", "subrun"]).join(runs, ["run"])
-
-
 def without_children(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Containers that hold nothing."""
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_anti")
