@@ -7,22 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import EXPLICIT, INVALID, joined_ranges, ranges_meet
+from .ranges import EXPLICIT, FULL_RUN, FULL_SUBRUN, INVALID, joined_ranges, ranges_meet
 
 #: How values of a product type are combined.
 MERGES: dict[str, Callable[[Column, Column], Column]] = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+# Fixed value: the first format version with range sets.
+RANGE_SETS_FROM = 9
 # Fixed value: the category under which this error is known.
 OVERLAP = "ProductCannotBeAggregated"
 
 
-def combine_fragments(fragments: DataFrame, by: tuple[str, ...], merge: str = "sum", strict: bool = False) -> DataFrame:
+def combine_fragments(fragments: DataFrame, by: tuple[str, ...], merge: str | Callable[[Column, Column], Column] = "sum", strict: bool = False) -> DataFrame:
     """Fold the fragments of each product in entry order: ``kind, ranges, value, status``.
 
     A fragment is held against what has been accumulated so far: both invalid, nothing; one valid, that
     one; the same ranges, the newcomer is ignored; disjoint, values and ranges are combined; else the
     product cannot be aggregated, which is a status, or an error when ``strict``.  So A, A, B combine and A, B, A do not.
+    ``merge`` is a name in ``MERGES`` or a function of two values.  Fragments of a product are those of one run or
+    sub-run, one from each file, so an array holds them.
     """
-    combine = MERGES[merge]
+    combine = MERGES[merge] if isinstance(merge, str) else merge
     items = F.array_sort(F.collect_list(F.struct("entry", "kind", "ranges", "value")))
     folded = fragments.groupBy(*by).agg(items.alias("_items"))
     ranges_type = fragments.schema["ranges"].dataType.simpleString()
@@ -42,6 +46,20 @@ def combine_fragments(fragments: DataFrame, by: tuple[str, ...], merge: str = "s
     return out
 
 
+def first_of_old_files(fragments: DataFrame, by: tuple[str, ...], level: str, version: str = "version") -> DataFrame:
+    """Fragments as ``combine_fragments`` takes them where files before range sets are among them.
+
+    If the first fragment of a product is of such a file, it stands for the whole run or sub-run (``level``) and is all
+    that is read.
+    """
+    first = fragments.groupBy(*by).agg(F.min_by(version, "entry").alias("_version"), F.min("entry").alias("_entry"))
+    old = F.col("_version") < RANGE_SETS_FROM
+    rows = fragments.join(first, list(by)).filter(~old | (F.col("entry") == F.col("_entry")))
+    whole = FULL_RUN if level == "run" else FULL_SUBRUN
+    nothing = F.array().cast(fragments.schema["ranges"].dataType.simpleString())
+    return rows.withColumns({"kind": F.when(old, whole).otherwise(F.col("kind")), "ranges": F.when(old, nothing).otherwise(F.col("ranges"))}).drop("_version", "_entry")
+
+
 def available(statuses: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """A product is there after combination if any fragment has it."""
     return statuses.groupBy(*by).agg(F.bool_or(F.col("status") == "present").alias("available"))

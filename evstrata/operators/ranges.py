@@ -14,6 +14,8 @@ from ..functions.keys import EVENT, RUN, SUBRUN
 # Kinds of range sets, and the statuses of products.
 INVALID, FULL_RUN, FULL_SUBRUN, EXPLICIT = "invalid", "full_run", "full_subrun", "explicit"
 PRESENT, DUMMY = "present", "dummyToPreventDoubleCount"
+#: Event numbers by which ranges of one sub-run number are dealt out.
+PART = 1 << 20
 
 
 def full_ranges(events: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> DataFrame:
@@ -36,13 +38,28 @@ def merge_ranges(ranges: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> Data
     return numbered.groupBy(*by, "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
 
 
-def compare_fragments(fragments: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN), file: str = "file_no") -> DataFrame:
-    """Each pair of fragments of a sub-run, from different files: ``same``, ``overlap`` or ``disjoint``."""
-    a = fragments.select(*by, F.col(file).alias("file_a"), F.col("begin").alias("begin_a"), F.col("end").alias("end_a"))
-    b = fragments.select(*by, F.col(file).alias("file_b"), F.col("begin").alias("begin_b"), F.col("end").alias("end_b"))
-    same = (F.col("begin_a") == F.col("begin_b")) & (F.col("end_a") == F.col("end_b"))
-    meet = (F.col("begin_a") < F.col("end_b")) & (F.col("begin_b") < F.col("end_a"))
-    return a.join(b, list(by)).filter("file_a < file_b").withColumn("relation", F.when(same, "same").when(meet, "overlap").otherwise("disjoint"))
+def relation_counts(fragments: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN), file: str = "file_no") -> DataFrame:
+    """For each sub-run how many pairs of its fragments, from different files, are the ``same``, ``overlap`` or are ``disjoint``.
+
+    Nothing is paired: equal fragments are counted, and for each fragment those that ended before it
+    began, by a running count over begins and ends in order.
+    """
+
+    def counted(keys: list[str]) -> DataFrame:
+        alike = fragments.groupBy(*keys, "begin", "end").agg(F.count("*").alias("n"))
+        same = alike.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
+        # An end comes before a begin at the same event, for ranges are half-open.
+        ends = alike.select(*keys, F.col("end").alias("at"), F.lit(0).alias("kind"), "n")
+        begins = alike.select(*keys, F.col("begin").alias("at"), F.lit(1).alias("kind"), "n")
+        marks = ends.unionByName(begins).groupBy(*keys, "at", "kind").agg(F.sum("n").alias("n"))
+        before = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).over(Window.partitionBy(*keys).orderBy("at", "kind"))
+        apart = marks.withColumn("_before", before).filter("kind = 1").groupBy(*keys).agg(F.sum(F.col("n") * F.col("_before")).alias("disjoint"))
+        return same.join(apart, keys).select(*keys, "same", "disjoint", F.expr("_n * (_n - 1) div 2 - same - disjoint").alias("overlap"))
+
+    names = ("same", "overlap", "disjoint")
+    own = counted([*by, file]).groupBy(*by).agg(*(F.sum(c).alias(f"_{c}") for c in names))
+    every = counted(list(by)).join(own, list(by))
+    return every.select(*by, *((F.col(c) - F.col(f"_{c}")).cast("bigint").alias(c) for c in names))
 
 
 def invalidate_foreign(products: DataFrame, owners: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> DataFrame:
@@ -66,8 +83,10 @@ def range_tables(fragments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """
     from .scan import with_ordinal
 
-    ranges = fragments.select(SUBRUN, "begin", "end").distinct()
-    ranges = with_ordinal(ranges, ("begin", "end"), chunk=(SUBRUN,), name="range_id")
+    # All runs share the numbers of sub-runs, so a sub-run is numbered in parts by where ranges begin.
+    part = F.expr(f"begin div {PART}").alias("_part")
+    ranges = fragments.select(SUBRUN, "begin", "end", part).distinct()
+    ranges = with_ordinal(ranges, ("begin", "end"), chunk=(SUBRUN, "_part"), name="range_id").drop("_part")
     sets = with_ordinal(fragments.select("file_no", RUN).distinct(), (RUN,), chunk=("file_no",), name="range_set_id")
     links = fragments.join(ranges, [SUBRUN, "begin", "end"]).join(sets, ["file_no", RUN]).select("range_set_id", "range_id").distinct()
     return ranges, sets, links
@@ -87,7 +106,8 @@ def ranges_meet(a: Column, b: Column) -> Column:
 def joined_ranges(a: Column, b: Column) -> Column:
     """Two disjoint arrays of ranges as one, sorted, with touching ranges merged."""
     every = F.array_sort(F.concat(a, b))
-    touch = lambda acc, x: (F.size(acc) > 0) & (F.element_at(acc, -1)["subrun"] == x["subrun"]) & (F.element_at(acc, -1)["end"] == x["begin"])
-    extend = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["subrun"].alias("subrun"), F.element_at(acc, -1)["begin"].alias("begin"), x["end"].alias("end"))))
-    empty = F.filter(every, lambda _: F.lit(False))
-    return F.aggregate(every, empty, lambda acc, x: F.when(touch(acc, x), extend(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    touch = lambda x, y: (x["subrun"] == y["subrun"]) & (x["end"] == y["begin"])
+    # A merged range goes from a range that nothing touches from before to one that touches nothing after it.
+    first = F.filter(every, lambda x, i: (i == 0) | ~touch(F.get(every, i - 1), x))
+    last = F.filter(every, lambda x, i: (i == F.size(every) - 1) | ~touch(x, F.get(every, i + 1)))
+    return F.zip_with(first, last, lambda x, y: F.struct(x["subrun"].alias("subrun"), x["begin"].alias("begin"), y["end"].alias("end")))

@@ -26,7 +26,7 @@ def file_index(events: DataFrame, file: str = "file_no") -> DataFrame:
     subrun = events.select(file, RUN, SUBRUN).distinct().select(file, RUN, SUBRUN, nothing.alias(EVENT), F.lit("subrun").alias("entry_type"), nothing.alias("entry"))
     run = events.select(file, RUN).distinct().select(file, RUN, F.lit(None).cast("int").alias(SUBRUN), nothing.alias(EVENT), F.lit("run").alias("entry_type"), nothing.alias("entry"))
     every = event.unionByName(subrun).unionByName(run)
-    return with_ordinal(every, (SUBRUN, EVENT), within=(file,), chunk=(RUN,), name="position")
+    return with_ordinal(every, (EVENT,), within=(file,), name="position")
 
 
 def with_ordinal(df: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] = (), chunk: tuple[str, ...] = (RUN, SUBRUN), name: str = "ordinal") -> DataFrame:
@@ -36,11 +36,26 @@ def with_ordinal(df: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] =
     gathered, so a numbering of all rows needs no task that sees all rows.
     """
     groups = [*within, *chunk]
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    sizes = sizes.select(*groups, (F.sum("_n").over(order.orderBy(*(F.col(c).asc_nulls_first() for c in chunk))) - F.col("_n")).alias("_before"))
+    sizes = _chunks(df, within, chunk)
     inside = Window.partitionBy(*groups).orderBy(*(F.col(c).asc_nulls_first() for c in keys or chunk))
-    return df.withColumn("_rank", F.row_number().over(inside)).join(sizes, groups).withColumn(name, F.col("_before") + F.col("_rank")).drop("_before", "_rank")
+    ranked = df.withColumn("_rank", F.row_number().over(inside))
+    return _by_chunk(ranked, sizes, groups).withColumn(name, F.col("_before") + F.col("_rank")).drop("_n", "_before", "_rank")
+
+
+def _chunks(df: DataFrame, within: tuple[str, ...], chunk: tuple[str, ...]) -> DataFrame:
+    """Each chunk with its number of rows ``_n`` and that of all chunks ``_before`` it."""
+    sizes = df.groupBy(*within, *chunk).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    return sizes.withColumn("_before", F.sum("_n").over(order.orderBy(*(F.col(c).asc_nulls_first() for c in chunk))) - F.col("_n"))
+
+
+def _by_chunk(df: DataFrame, sizes: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """``df`` beside the chunk that each row is in; a null is a value like any other."""
+    named = sizes.select(*(F.col(c).alias(f"_chunk_{c}") for c in groups), "_n", "_before")
+    same = F.lit(True)
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"_chunk_{c}"))
+    return df.join(named, same, how).drop(*(f"_chunk_{c}" for c in groups))
 
 
 def from_first(events: DataFrame, run: int = 0, subrun: int = 0, event: int = 0) -> DataFrame:
@@ -49,10 +64,18 @@ def from_first(events: DataFrame, run: int = 0, subrun: int = 0, event: int = 0)
 
 
 def skip_and_limit(events: DataFrame, skip: int = 0, limit: int | None = None, order: tuple[str, ...] = KEY) -> DataFrame:
-    """``limit`` events after the first ``skip``; a top-k, so no task sorts all rows."""
-    out = events.orderBy(*order)
-    out = out.offset(skip) if skip else out
-    return out if limit is None else out.limit(limit)
+    """``limit`` events after the first ``skip`` by run, sub-run and the rest of ``order``.
+
+    Counts per sub-run tell which sub-runs the wanted ones lie in, and only those are ranked.
+    """
+    chunk, rest = order[:2], order[2:]
+    sizes = _chunks(events, (), chunk).filter(F.col("_before") + F.col("_n") > skip)
+    sizes = sizes if limit is None else sizes.filter(F.col("_before") < skip + limit)
+    near = _by_chunk(events, sizes, list(chunk))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*chunk).orderBy(*(F.col(c).asc_nulls_first() for c in rest)))
+    near = near.withColumn("_place", place).filter(F.col("_place") > skip)
+    near = near if limit is None else near.filter(F.col("_place") <= skip + limit)
+    return near.drop("_place", "_n", "_before")
 
 
 def limit_subruns(events: DataFrame, n: int) -> DataFrame:
@@ -120,8 +143,30 @@ def seek_next(events: DataFrame, wanted: list[EventID]) -> DataFrame:
     return one.select(F.explode(rows).alias("_r")).select("_r.w_run", "_r.w_subrun", "_r.w_event", F.col("_r.found.run").cast("int").alias(RUN), F.col("_r.found.subrun").cast("int").alias(SUBRUN), F.col("_r.found.event").alias(EVENT))
 
 
+def seek_container(events: DataFrame, wanted: DataFrame, file: str = "file_no") -> DataFrame:
+    """For each wanted run, or sub-run if ``subrun`` is not null, the first file with it and its first event there; null where no file has it."""
+    first = F.min(F.struct(file, SUBRUN, EVENT))
+    runs = events.join(small(wanted.select(RUN).distinct()), RUN, "left_semi").groupBy(RUN, SUBRUN).agg(first.alias("_at"))
+    per_run = runs.groupBy(RUN).agg(F.min("_at").alias("_at")).withColumn(SUBRUN, F.lit(None).cast("int"))
+    found = runs.select(RUN, SUBRUN, "_at").unionByName(per_run.select(RUN, SUBRUN, "_at"))
+    at = found.select(F.col(RUN).alias("_r"), F.col(SUBRUN).alias("_s"), "_at")
+    out = wanted.join(at, (F.col(RUN) == F.col("_r")) & F.col(SUBRUN).eqNullSafe(F.col("_s")), "left")
+    return out.select(RUN, SUBRUN, F.col(f"_at.{file}").alias(file), F.col(f"_at.{EVENT}").alias("first_event"))
+
+
 def seek_offset(events: DataFrame, offset: int) -> DataFrame:
-    """Each event with the one ``offset`` places on (back if negative) in reading order, null beyond either end."""
-    numbered = with_ordinal(events.select(*KEY), (EVENT,))
-    other = numbered.select((F.col("ordinal") - offset).alias("ordinal"), F.col(RUN).alias("to_run"), F.col(SUBRUN).alias("to_subrun"), F.col(EVENT).alias("to_event"))
-    return numbered.join(other, "ordinal", "left").drop("ordinal")
+    """Each event with the one ``offset`` places on (back if negative) in reading order, null beyond either end.
+
+    Most are found in the same sub-run; only the ``offset`` events next to a border are looked up by number.
+    """
+    chunk = [RUN, SUBRUN]
+    inside = Window.partitionBy(*chunk).orderBy(EVENT)
+    far = F.lead(F.struct(*KEY), offset) if offset >= 0 else F.lag(F.struct(*KEY), -offset)
+    ranked = events.select(*KEY).withColumns({"_rank": F.row_number().over(inside), "_to": far.over(inside)})
+    numbered = _by_chunk(ranked, _chunks(events, (), (RUN, SUBRUN)), chunk).withColumn("_place", F.col("_before") + F.col("_rank"))
+    # What another sub-run's event leads to lies as near to the border on the other side.
+    near = F.col("_rank") <= offset if offset >= 0 else F.col("_n") - F.col("_rank") < -offset
+    landing = numbered.filter(near).select((F.col("_place") - offset).alias("_place"), F.struct(*KEY).alias("_land"))
+    found = numbered.filter("_to IS NULL").select(*KEY, "_place").join(landing, "_place", "left").select(*KEY, F.col("_land").alias("_to"))
+    out = numbered.filter("_to IS NOT NULL").select(*KEY, "_to").unionByName(found)
+    return out.select(*KEY, *(F.col(f"_to.{c}").alias(f"to_{c}") for c in KEY))

@@ -17,8 +17,6 @@ from ..functions.keys import KEY
 from ..operators import output, ranges, scan
 
 ERA, VERSION = "evstrata", 15
-#: The first version with each feature.
-RANGE_SETS_FROM, FAST_CLONE_FROM = 9, 10
 SIDECARS = ("format", "file_index", "products", "lineage", "parentage", "process_history", "parameter_sets", "event_ranges", "range_sets", "range_set_members", "catalog_metadata")
 
 
@@ -43,7 +41,7 @@ def write_dataset(
     fragments = ranges.full_ranges(events, ("file_no", "run", "subrun"))
     event_ranges, range_sets, members = ranges.range_tables(fragments)
     tables = {
-        "format": spark.createDataFrame([(ERA, VERSION)], "era string, version int"), "file_index": scan.file_index(events), "event_ranges": event_ranges, "range_sets": range_sets, "range_set_members": members,
+        "format": spark.createDataFrame([(ERA, VERSION)], "era string, version int"), "file_index": scan.file_index(events).orderBy("file_no", "position"), "event_ranges": event_ranges, "range_sets": range_sets, "range_set_members": members,
         "catalog_metadata": output.catalog_metadata(events, run_type=run_type, version=VERSION, extra=metadata), "parentage": spark.createDataFrame([(parentage_id(p), p) for p in parents], "parentage_id string, parents array<bigint>"),
         "products": products, "lineage": lineage, "process_history": histories, "parameter_sets": parameters,
     }

@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import KEY
+from ..plans.session import small
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _plain_path(path: Column) -> Column:
+    """Local paths without their scheme, others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_files(spark: SparkSession, paths: list[str], skip_bad: bool = False, require: tuple[str, ...] = KEY) -> DataFrame:
-    """Many files in catalog order: ``file_no`` is a file's place in ``paths``, ``entry`` a row's place in its file.
+    """Many files, or folders of files, in catalog order: ``file_no`` is the place in ``paths``, ``entry`` a row's place in its file.
 
-    Columns that only some files have are null for the others.  With ``skip_bad`` unreadable files are left out.
+    All are read at once, and each row finds its file's place by name.  Columns that only some files have are
+    null for the others.  A row without one of the columns ``require`` is an error, which names the file; with
+    ``skip_bad`` such files are left out, as are missing and corrupt ones.
     """
-    out = None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    catalog = []
     for number, path in enumerate(paths):
-        try:
-            part = spark.read.option("ignoreCorruptFiles", skip_bad).parquet(path)
-            missing = set(require) - set(part.columns)
-            if missing:
-                raise ValueError(f"{path} lacks {sorted(missing)}")
-        except Exception:
-            if not skip_bad:
-                raise
-            continue
-        part = part.withColumns({"file_no": F.lit(number), "entry": F.col("_metadata.row_index")})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        store = p.getFileSystem(conf)
+        if not skip_bad or store.exists(p):
+            catalog.append((store.makeQualified(p).toString(), number))
+    if not catalog:
         raise ValueError("no file could be read")
-    return out
+    reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_bad)
+    rows = reader.parquet(*(p for p, _ in catalog))
+    missing = sorted(set(require) - set(rows.columns))
+    if missing:
+        raise ValueError(f"no file has {missing}")
+    places = spark.createDataFrame(catalog, "_path string, file_no int").select(_plain_path(F.col("_path")).alias("_path"), "file_no")
+    rows = rows.select("*", F.col("_metadata.row_index").alias("entry"), _plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("_file"))
+    # A file is named itself, or the folder that it lies in is.
+    named = F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]*$", ""))).alias("_path")
+    rows = rows.select("*", named).join(small(places), "_path")
+    lacking = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in require))
+    if skip_bad:
+        return rows.filter(lacking == "").drop("_path", "_file")
+    checked = F.when(lacking != "", F.raise_error(F.concat("_file", F.lit(" lacks "), lacking))).otherwise(F.col("file_no"))
+    return rows.withColumn("file_no", checked).drop("_path", "_file")
 
 
 def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
