@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -35,33 +36,55 @@ def switch_by_event(events: DataFrame, limit: int) -> DataFrame:
     return with_ordinal(events, (EVENT,)).withColumn("output_file", F.expr(f"cast((ordinal - 1) div {limit} + 1 as bigint)")).drop("ordinal")
 
 
-def switch_by_subrun(events: DataFrame, limit: int, batch: int = 8192) -> DataFrame:
-    """Files closed at the first sub-run border after ``limit`` events: ``output_file`` for each sub-run with its events.
+def switch_by_subrun(events: DataFrame, limit: int) -> DataFrame:
+    """Files closed at the first sub-run border after ``limit`` events: ``output_file`` for each sub-run with its events."""
+    counts = events.groupBy(RUN, SUBRUN).agg(F.count("*").alias("events"))
+    return switch_files(counts, ClosingCriteria(events=limit)).select(RUN, SUBRUN, "events", "output_file")
 
-    The fold needs its carry, so it runs over counts per sub-run, one row each, in the order of sub-runs.
+
+def switch_files(subruns: DataFrame, criteria: ClosingCriteria, at: str = SUBRUN) -> DataFrame:
+    """``output_file`` for each row of ``subruns``: files are closed at the first border after any criterion is reached.
+
+    A row is a sub-run, or a part of one from one input file, with ``run, subrun, events`` and, where the
+    criteria ask for them, ``input_file``, ``size_kib`` and ``seconds``, in the order of ``input_file``, run and
+    sub-run.  ``at`` is the border: ``subrun``, ``run`` or ``input_file``.  Everything is counted anew for each
+    file; runs and input files are those that the file has seen.
+
+    The fold needs its carry, so it runs over these rows in order, in one task; beside events they are few.
     """
-    counts = events.groupBy(RUN, SUBRUN).agg(F.count("*").alias("events")).orderBy(RUN, SUBRUN)
-    schema = "run int, subrun int, events bigint, output_file bigint"
+    have = [c for c in ("input_file", "size_kib", "seconds") if c in subruns.columns]
+    order = [c for c in ("input_file", RUN, SUBRUN) if c in subruns.columns]
+    rows = subruns.select(RUN, SUBRUN, "events", *have).orderBy(*order)
+    level = {SUBRUN: "subruns", RUN: "runs", "input_file": "input_files"}[at]
 
     def fold(batches):
         import pyarrow as pa
 
-        number, held = 1, 0
+        number, last, seen = 1, None, {}
+        counts: Counter[str] = Counter()
         for part in batches:
             out = []
-            for n in part.column("events").to_pylist():
-                if held >= limit:
-                    number, held = number + 1, 0
-                held += n
+            for row in part.to_pylist():
+                here = {"subruns": (row[RUN], row[SUBRUN]), "runs": (row[RUN],), "input_files": (row.get("input_file"),)}
+                if last is not None and here[level] != last and criteria.reached(**counts):
+                    number, seen = number + 1, {}
+                    counts.clear()
+                last = here[level]
+                for name, value in here.items():
+                    counts[name] += seen.get(name) != value
+                    seen[name] = value
+                counts["events"] += row["events"]
+                counts["size_kib"] += row.get("size_kib") or 0
+                counts["age_s"] += row.get("seconds") or 0
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], ["run", "subrun", "events", "output_file"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], [*part.schema.names, "output_file"])
 
-    # Sub-runs, unlike events, are few: one ordered partition of counts.
-    return counts.coalesce(1).mapInArrow(fold, schema)
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema)
+    return rows.coalesce(1).mapInArrow(fold, f"{schema}, output_file bigint")
 
 
 def write_levels(events: DataFrame, path: str, drop_events: bool = False, drop_subruns: bool = False, partition: str | None = None) -> None:
-    """Events, sub-runs and runs as Parquet below ``path``, with the index; dropping sub-runs implies dropping events."""
+    """Events, sub-runs and runs as Parquet below ``path``; sub-runs can be dropped only with events."""
     if drop_subruns and not drop_events:
         raise ValueError("sub-runs cannot be dropped while events are kept")
     if not drop_events:
@@ -88,11 +111,14 @@ def file_statistics(events: DataFrame, file: str = "file_no") -> DataFrame:
     )
 
 
+#: Makes further names and values from the events of a job.
 Plugin = Callable[[DataFrame], dict[str, str]]
 
 
-def catalog_metadata(events: DataFrame, file: str = "file_no", run_type: str | None = None, version: int = 15, extra: dict[str, str] | None = None) -> DataFrame:
+def catalog_metadata(events: DataFrame, file: str = "file_no", run_type: str | None = None, version: int = 15, extra: dict[str, str] | None = None, plugins: tuple[Plugin, ...] = ()) -> DataFrame:
     """Name and value rows per file, in the order ``seq``; a run list is given only where a run type is known."""
+    for plugin in plugins:
+        extra = {**plugin(events), **(extra or {})}
     s = file_statistics(events, file)
     triple = lambda c: F.concat(F.lit("["), F.concat_ws(",", c["run"], c["subrun"], c["event"]), F.lit("]"))
     pairs = [
