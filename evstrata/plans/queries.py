@@ -141,6 +141,16 @@ def seek_exact(spark, d):
     return scan.seek_exact(split_events_view(spark, d), spark.createDataFrame(_WANTED, "run int, subrun int, event bigint"))
 
 
+_CONTAINERS = ((1, None), (3, 5), (10, 12), (99, None), (99, 1), (30, None))
+_CONTAINERS_SQL = "w as (select * from (values " + ", ".join(f"(cast({r} as int), cast({'null' if s is None else s} as int))" for r, s in _CONTAINERS) + ") as v(run, subrun))"
+
+
+@query(f"""with {SPLIT_SQL}, {_CONTAINERS_SQL}, f as (select w.run, w.subrun, h5.file_no, h5.event, row_number() over (partition by w.run, w.subrun order by h5.file_no, h5.subrun, h5.event) as k
+  from w left join h5 on h5.run = w.run and (w.subrun is null or h5.subrun = w.subrun)) select run, subrun, file_no, event as first_event from f where k = 1""")
+def seek_container(spark, d):
+    return scan.seek_container(split_events_view(spark, d), spark.createDataFrame(_CONTAINERS, "run int, subrun int"))
+
+
 @query(f"""with {EVENTS_SQL}, {_WANTED_SQL}, f as (select w.run as w_run, w.subrun as w_subrun, w.event as w_event, h1.run, h1.subrun, h1.event,
   row_number() over (partition by w.run, w.subrun, w.event order by h1.run, h1.subrun, h1.event) as k
   from w left join h1 on (h1.run, h1.subrun, h1.event) >= (w.run, w.subrun, w.event))
@@ -219,10 +229,12 @@ def secondary_coalesce(spark, d):
     return lookup.coalesce_lookup(docs, [labels, second], ("doc_id",), "quality", F.lit(-1)).select("doc_id", "quality")
 
 
-@query(f"with {EVENTS_SQL}, p as (select cast(i as bigint) as pos, cast((i * 37) % 100 as bigint) as entry from range(0, 250) t(i)) select pos, entry, run, subrun, event, value from p join h1 using (entry)")
+@query(f"with {EVENTS_SQL}, n as (select count(*) as n from h1), p as (select cast(i as bigint) as pos, cast((i * 37) % n.n as bigint) as entry from n, range(0, (select count(*) from events)) t(i)) select pos, entry, run, subrun, event, value from p join h1 using (entry)")
 def mix_entries(spark, d):
-    positions = spark.range(250).select(F.col("id").alias("pos"), (F.col("id") * 37 % 100).alias("entry"))
-    return lookup.read_positions(events_view(spark, d).select(*KEYS, "entry", "value"), positions).select("pos", "entry", *KEYS, "value")
+    events = events_view(spark, d).select(*KEYS, "entry", "value")
+    n = events.count()
+    positions = spark.range(n).select(F.col("id").alias("pos"), (F.col("id") * 37 % n).alias("entry"))
+    return lookup.read_positions(events, positions).select("pos", "entry", *KEYS, "value")
 
 
 @query(f"with {SPLIT_SQL}, f as (select distinct file_no from h5) select file_no, lag(file_no) over (order by file_no) as previous_file, lead(file_no) over (order by file_no) as next_file from f")
@@ -239,10 +251,10 @@ def pair_collection(spark, d):
 # ---------------------------------------------------------------- ranges
 
 
-@query(f"""with {EVENTS_SQL}, g as (select *, event - row_number() over (partition by run, subrun order by event) as g from h1 where dataset = 'click')
+@query(f"""with {EVENTS_SQL}, g as (select *, event - row_number() over (partition by run, subrun order by event) as g from h1)
 select run, subrun, min(event) as "begin", max(event) + 1 as "end" from g group by run, subrun, g""")
 def range_full(spark, d):
-    return ranges.full_ranges(events_view(spark, d).filter("dataset = 'click'"))
+    return ranges.full_ranges(events_view(spark, d))
 
 
 @query(f'with {EVENTS_SQL} select run, subrun, min(event) as "begin", max(event) + 1 as "end" from h1 group by 1, 2')
@@ -267,12 +279,13 @@ def range_merge(spark, d):
 _H6 = f'{COPIES_SQL}, f as (select file_no, run, subrun, min(event) as b, max(event) + 1 as e from h2 group by 1, 2, 3)'
 
 
-@query(f"""with {_H6}, r as (select case when x.b = y.b and x.e = y.e then 'same' when x.b < y.e and y.b < x.e then 'overlap' else 'disjoint' end as relation
+@query(f"""with {_H6}, r as (select x.run, x.subrun, case when x.b = y.b and x.e = y.e then 'same' when x.b < y.e and y.b < x.e then 'overlap' else 'disjoint' end as relation
   from f x join f y on x.run = y.run and x.subrun = y.subrun and x.file_no < y.file_no)
-select relation, count(*) as n from r group by 1""")
+select run, subrun, count(*) filter (relation = 'same') as same, count(*) filter (relation = 'overlap') as overlap, count(*) filter (relation = 'disjoint') as disjoint
+from (select distinct run, subrun from f) left join r using (run, subrun) group by 1, 2""")
 def range_overlap(spark, d):
     fragments = ranges.compact_ranges(copies_view(spark, d), ("file_no", "run", "subrun"))
-    return ranges.compare_fragments(fragments).groupBy("relation").agg(F.count("*").alias("n"))
+    return ranges.relation_counts(fragments)
 
 
 @query(f"""with {_FRAGMENTS}, p as (select *, file_no = 1 as produced from f),
@@ -377,12 +390,12 @@ def catalog_md(spark, d):
     return output.catalog_metadata(split_events_view(spark, d), run_type="physics")
 
 
-_VALUES = ("42", "-1.5e3", "[1,2]", '{"a":1}', '"quoted"', "plain text", "", "nan", "0x1f", 'say "hi"', "inf", "7.")
+_VALUES = ("42", "-1.5e3", "[1,2]", '{"a":1}', '"quoted"', "plain text", "", "nan", "0x1f", 'say "hi"', "inf", "7.", "two\nlines", "a\ttab")
 _VALUES_SQL = "v(value) as (values " + ", ".join("('" + v.replace("'", "''") + "')" for v in _VALUES) + ")"
 
 
 @query(f"""with {_VALUES_SQL} select value, case when regexp_matches(value, '^\\s*[\\[{{]') or regexp_matches(value, '^".*"$') or regexp_matches(value, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') then value
-  else '"' || replace(replace(value, '\\', '\\\\'), '"', '\\"') || '"' end as json from v""")
+  else cast(to_json(value) as varchar) end as json from v""")
 def metadata_json(spark, d):
     return spark.createDataFrame([(v,) for v in _VALUES], "value string").select("value", T.json_value(F.col("value")).alias("json"))
 
@@ -403,6 +416,21 @@ def switch_subrun(spark, d):
     return output.switch_by_subrun(events_view(spark, d), 50)
 
 
+_PARTS_SQL = f"""{SPLIT_SQL}, c as (select file_no, run, subrun, count(*) as events, count(*) // 4 as size_kib, row_number() over (order by file_no, run, subrun) as n,
+    dense_rank() over (order by file_no, run) as run_no from h5 group by 1, 2, 3)"""
+
+
+@query(f"""with recursive {_PARTS_SQL}, f(n, run, file_no, output_file, events, subruns, runs, files, kib) as (select n, run, file_no, cast(1 as bigint), events, 1, 1, 1, size_kib from c where n = 1
+  union all select c.n, c.run, c.file_no, case when z then f.output_file + 1 else f.output_file end, case when z then c.events else f.events + c.events end, case when z then 1 else f.subruns + 1 end,
+    case when z then 1 else f.runs + cast(c.run <> f.run as int) end, case when z then 1 else f.files + cast(c.file_no <> f.file_no as int) end, case when z then c.size_kib else f.kib + c.size_kib end
+  from f join c on c.n = f.n + 1, lateral (select f.events >= 300 or f.subruns >= 30 or f.runs >= 3 or f.files >= 2 or f.kib >= 60) q(z))
+select c.file_no, c.run, c.subrun, c.events, f.output_file from f join c on c.n = f.n""")
+def switch_criteria(spark, d):
+    parts = split_events_view(spark, d).groupBy(F.col("file_no").alias("input_file"), "run", "subrun").agg(F.count("*").alias("events"), F.expr("count(*) div 4").alias("size_kib"))
+    criteria = output.ClosingCriteria(events=300, subruns=30, runs=3, input_files=2, size_kib=60)
+    return output.switch_files(parts, criteria).select(F.col("input_file").alias("file_no"), "run", "subrun", "events", "output_file")
+
+
 @query(f"""with {_SWITCH}, g as (select output_file, min((run, subrun)) as a, max((run, subrun)) as b, arg_min(run, (run, subrun)) as fr, arg_min(subrun, (run, subrun)) as fs,
   arg_max(run, (run, subrun)) as lr, arg_max(subrun, (run, subrun)) as ls from s group by 1)
 select output_file, 'out_' || output_file || '_r' || fr || '_s' || fs || '-r' || lr || '_s' || ls || '_events.parquet' as file_name from g""")
@@ -421,14 +449,8 @@ def drop_levels(spark, d):
     return subruns.unionByName(spark.read.parquet(f"{path}/runs").select(F.lit("run").alias("level"), "run", F.lit(None).cast("int").alias("subrun")))
 
 
-@query(f"with {EVENTS_SQL} select run, subrun, event, value, cast(null as bigint) as user_id from h1 where event < 2000 union all select run, subrun, event, null, user_id from h1 where event between 2000 and 3999")
-def union_backfill(spark, d):
-    e = events_view(spark, d)
-    return output.backfilled(e.filter("event < 2000").select(*KEYS, "value"), e.filter("event between 2000 and 3999").select(*KEYS, "user_id"))
-
-
 @query(f"with {EVENTS_SQL} select run, subrun, event, value, cast(null as bigint) as user_id from h1 where dataset is distinct from 'view' union all select run, subrun, event, null, user_id from h1 where dataset = 'view'")
-def union_backfill_all(spark, d):
+def union_backfill(spark, d):
     e = events_view(spark, d)
     view = F.col("dataset").eqNullSafe("view")
     return output.backfilled(e.filter(~view).select(*KEYS, "value"), e.filter(view).select(*KEYS, "user_id"))
@@ -471,12 +493,12 @@ sampled as (select cast(1 as int) as run, cast(0 as int) as subrun, draw as even
   from j join cp on cp.dataset = j.dataset where draw < coalesce((select min(draw) from j where event is null), {n + 1}))"""
 
 
-_PLAIN = _sampling_sql(_SETS, 7, 400, "event < 1000")
+_PLAIN = _sampling_sql(_SETS, 7, 400, "true")
 _SKIPPED = _sampling_sql(_SKIP_SETS, 11, 300, "(dataset <> 'click' or (run, subrun, event) >= (1, 2, 100)) and (dataset <> 'purchase' or (run, subrun, event) >= (2, 0, 0))")
 
 
 def _sample(spark, d):
-    return sampling.sample(spark, events_view(spark, d).filter("event < 1000"), _SETS, 7, 400)
+    return sampling.sample(spark, events_view(spark, d), _SETS, 7, 400)
 
 
 @query(f"with recursive {_PLAIN} select * from sampled")
@@ -494,46 +516,9 @@ def sampling_summary(spark, d):
     return sampling.summary(_sample(spark, d), spark, _SETS)
 
 
-@query(f"""with {EVENTS_SQL}, i as (select distinct dataset, run, subrun from h1 where event < 1000)
-select dataset, cast(count(*) as int) as n_ids, string_agg(run || ':' || subrun, ',' order by run, subrun) as ids from i group by 1""")
-def sampled_info(spark, d):
-    ids = sampling.sampled_ids(events_view(spark, d).filter("event < 1000"), ("run", "subrun"))
-    return ids.select("dataset", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: F.concat_ws(":", x["run"], x["subrun"])), ",").alias("ids"))
-
-
-@query(f"""with {EVENTS_SQL}, v as (select cast(user_id % 7 as bigint) as product, dataset, event as id, cast(value as decimal(18,2)) as value from h1 where event < 500),
-i as (select product, dataset, string_agg(id || '=' || value, ',' order by id) as entries from v group by 1, 2)
-select product, string_agg(dataset || '{{' || entries || '}}', ' ' order by dataset) as sampled from i group by 1""")
-def sampled_products(spark, d):
-    values = events_view(spark, d).filter("event < 500").select((F.col("user_id") % 7).alias("product"), "dataset", F.col("event").alias("id"), F.col("value").cast("decimal(18,2)").alias("value"))
-    out = sampling.sampled_products(values, "product")
-    entry = lambda x: F.concat_ws("=", x["id"], x["value"])
-    group = lambda g: F.concat(g["dataset"], F.lit("{"), F.array_join(F.transform(g["entries"], entry), ","), F.lit("}"))
-    return out.select("product", F.array_join(F.transform("sampled", group), " ").alias("sampled"))
-
-
-# The same over the whole table; the queries above keep the id prefix that their SQL defines.
-
-_ALL = _sampling_sql(_SETS, 7, 400, "true")
-
-
-def _sample_all(spark, d):
-    return sampling.sample(spark, events_view(spark, d), _SETS, 7, 400)
-
-
-@query(f"with recursive {_ALL} select * from sampled")
-def sampling_events_all(spark, d):
-    return _sample_all(spark, d)
-
-
-@query(f"with recursive {_ALL} select cp.dataset, cp.weight, cp.probability, count(old_event) as n_sampled, count(old_event) / (select count(*) from sampled)::double as fraction, (select count(*) from sampled) as n_total from cp left join sampled using (dataset) group by 1, 2, 3")
-def sampling_summary_all(spark, d):
-    return sampling.summary(_sample_all(spark, d), spark, _SETS)
-
-
 @query(f"""with {EVENTS_SQL}, i as (select distinct dataset, run, subrun from h1)
 select dataset, cast(count(*) as int) as n_ids, string_agg(run || ':' || subrun, ',' order by run, subrun) as ids from i group by 1""")
-def sampled_info_all(spark, d):
+def sampled_info(spark, d):
     ids = sampling.sampled_ids(events_view(spark, d), ("run", "subrun"))
     return ids.select("dataset", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: F.concat_ws(":", x["run"], x["subrun"])), ",").alias("ids"))
 
@@ -541,7 +526,7 @@ def sampled_info_all(spark, d):
 @query(f"""with {EVENTS_SQL}, v as (select user_id as product, dataset, event as id, cast(value as decimal(18,2)) as value from h1),
 i as (select product, dataset, string_agg(id || '=' || value, ',' order by id) as entries from v group by 1, 2)
 select product, string_agg(dataset || '{{' || entries || '}}', ' ' order by dataset) as sampled from i group by 1""")
-def sampled_products_all(spark, d):
+def sampled_products(spark, d):
     values = events_view(spark, d).select(F.col("user_id").alias("product"), "dataset", F.col("event").alias("id"), F.col("value").cast("decimal(18,2)").alias("value"))
     out = sampling.sampled_products(values, "product")
     entry = lambda x: F.concat_ws("=", x["id"], x["value"])
@@ -576,6 +561,43 @@ def provenance_ancestors(spark, d):
     return provenance.ancestors(edges, spark.createDataFrame([(10,), (14,), (20,)], "product_id bigint"))
 
 
+#: Products 1 to 9 of every event, each made of the one at half its number and the one three before; 1 and 2 come from the input.
+_STORED_SQL = f"""{EVENTS_SQL}, pr as (select event as entry, cast(p as bigint) as product_id, case when p >= 2 then list_sort(list_distinct([cast(p // 2 as bigint), cast(greatest(p - 3, 1) as bigint)])) else [] end as parents
+  from h1, range(1, 10) t(p) where (event + p) % 6 <> 0)"""
+
+
+def _stored(spark, d):
+    entry = events_view(spark, d).select(F.col("event").alias("entry"))
+    p = F.col("product_id")
+    parents = F.when(p >= 2, F.array_sort(F.array_distinct(F.array(F.expr("product_id div 2"), F.greatest(p - 3, F.lit(1)))))).otherwise(F.array().cast("array<bigint>"))
+    rows = entry.select("entry", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(9).cast("bigint"))).alias("product_id"))
+    descriptions = spark.range(1, 10).select(F.col("id").alias("product_id"), (F.col("id") > 2).alias("produced"))
+    selected = entry.select("entry", F.explode(F.array(F.lit(8).cast("bigint"), F.lit(9).cast("bigint"))).alias("product_id"))
+    return selected, descriptions, rows.filter((F.col("entry") + p) % 6 != 0).select("entry", "product_id", F.lit("present").alias("status"), parents.alias("parents"))
+
+
+@query(f"""with recursive {_STORED_SQL}, a(entry, product_id) as (select event, p from h1, (values (8::bigint), (9)) t(p)
+  union select pr.entry, x from a join pr using (entry, product_id), unnest(pr.parents) u(x) where x > 2),
+k as (select entry, product_id, parents from a join pr using (entry, product_id) union all select entry, product_id, [] from a where product_id >= 8 and not exists (select 1 from pr where pr.entry = a.entry and pr.product_id = a.product_id))
+select entry, product_id, case when (entry + product_id) % 6 = 0 then 'neverCreated' else 'present' end as status, array_to_string(parents, ',') as parents from k""")
+def provenance_chain(spark, d):
+    kept, _ = provenance.kept_provenance(*_stored(spark, d))
+    return kept.select("entry", "product_id", "status", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"))
+
+
+@query("""with recursive e as (select cast(p as bigint) as product_id, unnest(list_distinct([cast(p // 2 as bigint), cast(greatest(p - 3, 1) as bigint)])) as parent from range(2, 10) t(p)),
+a(product_id) as (select * from (values (8::bigint), (9)) t(p) union select parent from a join e using (product_id) where product_id > 2)
+select 'NONE' as mode, product_id from a union all select 'PRIOR', 8 union all select 'PRIOR', 9 union all select 'PRIOR', parent from (select distinct parent from e where product_id in (8, 9))
+union all select 'ALL', 8 union all select 'ALL', 9""")
+def provenance_descriptions(spark, d):
+    out = None
+    for mode in (provenance.NONE, provenance.PRIOR, provenance.ALL):
+        _, described = provenance.kept_provenance(*_stored(spark, d), drop=mode)
+        described = described.distinct().select(F.lit(mode).alias("mode"), "product_id")
+        out = described if out is None else out.unionByName(described)
+    return out
+
+
 _HISTORY = (("h2", 0, "SIM"), ("h2", 1, "RECO"), ("h1", 0, "DAQ"), ("h1", 2, "ANA"), ("h1", 1, "RECO"))
 
 
@@ -605,20 +627,23 @@ def config_dump(spark, d):
     return report.configurations(sets, "module", "^m")
 
 
-#: Severities count in thousands: 1000 a warning, 2000 an error, 3000 fatal.
-_MESSAGE_RULES = [
-    T.MessageRule("suppress", ("no dictionary",)), T.MessageRule("suppress", ("already in", "class")), T.MessageRule("info", ("unknown branch",), "Tree"), T.MessageRule("throw", ("cannot open",), None, 2000), T.MessageRule("info", (), "Fit", 0),
-]
-_MESSAGES = ((1, 2000, "Class::Init", "no dictionary for class X"), (2, 1000, "Tree::Get", "unknown branch b"), (3, 2000, "File::Open", "cannot open f"), (4, 1000, "File::Open", "cannot open f"), (5, 3000, "Any", "broken"), (6, 1000, "Any", "odd"), (7, 2000, "Fit::Do", "poor"), (8, 1000, "List", "class A is already in the list"))
+#: Places and messages that the events' messages are made of, and which of them go together.
+_PLACES = ("TTree::ReadStream", "TNetXNGFile::Open", "TF1::SetFitResult", "TUnixSystem::DispatchSignals", "TUnixSystem::SetDisplay", "TClass::TClass", "A::B", "TDecompChol::Solve")
+_TEXTS = ("Ignoring trailing stuff", "[FATAL] gone", "[INFO] retry", "DISPLAY not set", "no dictionary for class DoNotRecordParents is available", "Cannot find dictionary for class foo", "Error parsing payload code for class foo, dictionary payload", "class foo already in TClassTable", "attempt to fill branch foo", "matrix not positive definite", "SIGUSR2")
+_list_sql = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query("""with m(n, severity, place, message) as (values """ + ", ".join(f"({n}, {s}, '{p}', '{m}')" for n, s, p, m in _MESSAGES) + """)
-select cast(n as int) as n, case when contains(message, 'no dictionary') then 'suppress' when contains(message, 'already in') and contains(message, 'class') then 'suppress'
-  when contains(message, 'unknown branch') and contains(place, 'Tree') then 'info' when severity >= 2000 and contains(message, 'cannot open') then 'throw' when contains(place, 'Fit') then 'info'
-  when severity >= 3000 then 'throw' else 'error' end as action from m""")
+@query(f"""with {EVENTS_SQL}, m as (select event, (event % 5) * 1000 as severity, case when user_id % 97 <> 0 then {_list_sql(_PLACES)}[event % {len(_PLACES)} + 1] end as place, {_list_sql(_TEXTS)}[user_id % {len(_TEXTS)} + 1] as message from h1)
+select event, case when contains(message, 'no dictionary for class') and contains(message, 'DoNotRecordParents is available') then 'suppress'
+  when severity <= 1000 or regexp_matches(message, 'already in TClassTable|matrix not positive definite') or (contains(message, 'dictionary') and not contains(message, 'Error parsing payload code for class'))
+    or regexp_matches(coalesce(place, '?'), 'Fit|TDecompChol::Solve') or (contains(message, 'Ignoring trailing') and place = 'TTree::ReadStream')
+    or (contains(message, 'DISPLAY not set') and place = 'TUnixSystem::SetDisplay') or (place = 'TNetXNGFile::Open' and not contains(message, '[FATAL]')) then 'info'
+  when place = 'TUnixSystem::DispatchSignals' then 'error' else 'throw' end as action from m""")
 def classify_messages(spark, d):
-    rows = spark.createDataFrame(_MESSAGES, "n int, severity int, place string, message string")
-    return rows.select("n", T.classify(_MESSAGE_RULES, F.col("severity"), F.col("place"), F.col("message")).alias("action"))
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    place = F.when(F.col("user_id") % 97 != 0, pick(_PLACES, F.col("event")))
+    rows = events_view(spark, d).select("event", (F.col("event") % 5 * 1000).alias("severity"), place.alias("place"), pick(_TEXTS, F.col("user_id")).alias("message"))
+    return rows.select("event", T.classify(F.col("severity"), F.col("place"), F.col("message")).alias("action"))
 
 
 _IDS = ("1:2:3", " 10 : 0 : 77 ", "1:2", "a:b:c", "", "5:6:7:8", "007:1:2")

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import numpy as np
 import pytest
@@ -46,6 +47,119 @@ def test_switching_by_subrun_gives_six_and_three(spark):
     assert [(r["events"], r["output_file"]) for r in got] == [(6, 1), (3, 2)]
 
 
+def test_switching_by_any_criterion(spark):
+    # input file, run, sub-run, events, KiB, seconds
+    rows = [(0, 1, 0, 4, 10, 1), (0, 1, 1, 4, 10, 1), (0, 2, 0, 4, 90, 1), (1, 2, 0, 1, 1, 1), (1, 2, 1, 1, 1, 100), (2, 3, 0, 1, 1, 1)]
+    parts = spark.createDataFrame(rows, "input_file int, run int, subrun int, events bigint, size_kib bigint, seconds bigint")
+
+    def files(at="subrun", **limits):
+        got = output.switch_files(parts, output.ClosingCriteria(**limits), at).orderBy("input_file", "run", "subrun").collect()
+        return [r["output_file"] for r in got]
+
+    assert files() == [1] * 6
+    assert files(events=8) == [1, 1, 2, 2, 2, 2]
+    assert files(subruns=1) == [1, 2, 3, 3, 4, 5]
+    assert files(runs=2) == [1, 1, 1, 1, 2, 2]
+    assert files(input_files=2) == [1, 1, 1, 1, 2, 2]
+    assert files(size_kib=100) == [1, 1, 1, 2, 2, 2]
+    assert files(age_s=100) == [1, 1, 1, 1, 1, 2]
+    assert files("run", subruns=1) == [1, 1, 2, 2, 2, 3]
+    assert files("input_file", events=1) == [1, 1, 1, 2, 2, 3]
+    assert output.switch_files(parts.limit(0), output.ClosingCriteria(events=1)).count() == 0
+
+
+# Severity, place, message and class as the handler is known to treat them.
+TRUTH = [
+    (3000, "Fill", "attempt to fill branch foo while addresss is not set", "throw"), (3000, "TCling::AutoParse", 'Error parsing payload code for class foo with content:\n\n#line 1 "lib_some_dict dictionary payload"', "throw"), (3000, "TNetXNGFile::Open", "[FATAL]", "throw"),
+    (1000, "A::B", "Richard Strauss was a German composer", "info"), (3000, "TClass::TClass", "no dictionary for class x::Transient<x::ProductRegistry::Transients> is available", "suppress"), (3000, "TClass::TClass", "no dictionary for class x::DoNotRecordParents is available", "suppress"),
+    (3000, "TTree::ReadStream", "Ignoring trailing stuff while reading data", "info"), (3000, "TBranchElement::Bronch", "Cannot find dictionary for class foo", "info"), (3000, "TClassTable::Add", "class foo already in TClassTable", "info"), (3000, "TUnixSystem::DispatchSignals", "SIGUSR2", "error"),
+    (3000, "TUnixSystem::SetDisplay", "DISPLAY not set", "info"), (3000, "TUnixSystem::GetHostByName", "getaddrinfo failed: Temporary failure in name resolution", "info"), (3000, "TNetXNGFile::Open", "[INFO]", "info"), (3000, "TF1::SetFitResult", "Invalid Fit result passed", "info"),
+    (3000, "TDecompChol::Solve", "matrix is singular", "info"), (3000, "THistPainter::PaintInit", "cannot set x axis to log scale", "info"), (3000, "TGClient::GetFontByName", "couldn't retrieve font", "info"), (0, "A::B", "This is less important than information", "info"), (2000, None, None, "throw"),
+]
+
+
+def test_message_classes(spark):
+    rows = spark.createDataFrame([t[:3] for t in TRUTH], "severity int, place string, message string")
+    got = rows.select(text.classify(F.col("severity"), F.col("place"), F.col("message"))).collect()
+    assert [r[0] for r in got] == [t[3] for t in TRUTH]
+
+
+def test_json_values_are_json(spark):
+    values = ["a\nb", "tab\there", "\x01\x1f", 'q"\\', "é", "", "12", "nan", "x}"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(text.json_value(F.col("v"))).collect()]
+    assert [json.loads(g) for g in got] == [12 if v == "12" else v for v in values]
+
+
+def test_letters_go_on(spark):
+    from evstrata.operators import provenance
+
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in (1, 26, 27, 52, 53, 702, 703, 18278)], "n bigint").select(provenance.letters(F.col("n"))).collect()]
+    assert got == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_provenance_of_ancestors(spark):
+    from evstrata.operators import provenance as p
+
+    # 4 is selected; 4 <- 3 <- 2 <- 1, and 4 <- 9 of which nothing is known; 1 comes from the input, 3 has no provenance in entry 2.
+    stored = spark.createDataFrame([(e, i, "present", parents) for e in (1, 2) for i, parents in ((4, [3, 9]), (3, [2]), (2, [1]), (1, [0])) if (e, i) != (2, 3)], "entry bigint, product_id bigint, status string, parents array<bigint>")
+    known = spark.createDataFrame([(1, False), (2, True), (3, True), (4, True), (5, False)], "product_id bigint, produced boolean")
+    chosen = spark.createDataFrame([(1, 4), (2, 4), (1, 5)], "entry bigint, product_id bigint")
+
+    def got(**options):
+        kept, described = p.kept_provenance(chosen, known, stored, **options)
+        return sorted((r["entry"], r["product_id"], r["status"]) for r in kept.collect()), sorted(r[0] for r in described.distinct().collect())
+
+    assert got() == ([(1, 2, "present"), (1, 3, "present"), (1, 4, "present"), (1, 5, "dropped"), (2, 4, "present")], [1, 2, 3, 4, 5])
+    assert got(drop=p.PRIOR) == ([(1, 4, "present"), (2, 4, "present")], [3, 4, 5])
+    assert got(drop=p.ALL) == ([], [4, 5])
+    assert got(drop_for_dropped=True) == ([(1, 4, "present"), (1, 5, "dropped"), (2, 4, "present")], [4, 5])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 1), st.integers(0, 8), st.integers(1, 4)), max_size=14))
+def test_relation_counts_equal_pairs(spark, parts):
+    rows = spark.createDataFrame([(f, 1, s, b, b + n) for f, s, b, n in parts], "file_no int, run int, subrun int, begin bigint, end bigint")
+    want = {s: [0, 0, 0] for _, s, _, _ in parts}
+    for i, (f, s, b, n) in enumerate(parts):
+        for g, t, c, m in parts[:i]:
+            if s == t and f != g:
+                want[s][0 if (b, n) == (c, m) else 1 if b < c + m and c < b + n else 2] += 1
+    assert {r["subrun"]: [r["same"], r["overlap"], r["disjoint"]] for r in ranges.relation_counts(rows).collect()} == want
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 9)), max_size=14, unique=True), st.integers(-4, 4))
+def test_offsets_and_skips(spark, ids, offset):
+    rows = spark.createDataFrame(ids, "run int, subrun int, event bigint")
+    order = sorted(ids)
+    want = {i: order[k + offset] if 0 <= k + offset < len(order) else (None,) * 3 for k, i in enumerate(order)}
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in scan.seek_offset(rows, offset).collect()} == want
+    assert sorted(map(tuple, scan.skip_and_limit(rows, abs(offset), 3).collect())) == order[abs(offset) : abs(offset) + 3]
+    assert sorted(map(tuple, scan.skip_and_limit(rows, abs(offset)).collect())) == order[abs(offset) :]
+
+
+def test_old_files_stand_for_the_whole(spark):
+    rows = [("p", 0, 8, "explicit", A, 2.0), ("p", 1, 15, "explicit", B, 3.0), ("q", 0, 15, "explicit", A, 2.0), ("q", 1, 8, "explicit", B, 3.0)]
+    fragments = spark.createDataFrame(rows, f"product string, entry bigint, version int, kind string, ranges {RANGES}, value double")
+    got = {r["product"]: (r["kind"], r["value"]) for r in combine.combine_fragments(combine.first_of_old_files(fragments, ("product",), "run"), ("product",)).collect()}
+    assert got == {"p": ("full_run", 2.0), "q": ("explicit", 5.0)}
+
+
+def test_user_merges_and_long_arrays(spark):
+    n = 2000
+    rows = [("p", 0, "explicit", [(0, 4 * i, 4 * i + 1) for i in range(n)], 2.0), ("p", 1, "explicit", [(0, 4 * i + 1, 4 * i + 2) for i in range(n)], 3.0)]
+    r = combine.combine_fragments(spark.createDataFrame(rows, f"product string, entry bigint, kind string, ranges {RANGES}, value double"), ("product",), lambda a, b: a * b).first()
+    assert r["value"] == 6.0 and [tuple(x) for x in r["ranges"]] == [(0, 4 * i, 4 * i + 2) for i in range(n)]
+
+
+def test_plugins_add_metadata(spark):
+    import datetime as d
+
+    rows = spark.createDataFrame([(1, 0, 1, 0, 0, d.datetime(2024, 1, 1))], "run int, subrun int, event bigint, entry bigint, file_no int, ts timestamp")
+    got = {r["name"]: r["value"] for r in output.catalog_metadata(rows, plugins=(lambda e: {"n": str(e.count()), "event_count": "0"},), extra={"n": "given"}).collect()}
+    assert got["n"] == "given" and got["event_count"] == "0"
+
+
 def test_switching_names_need_a_number():
     with pytest.raises(ValueError):
         text.check_name_pattern("out.root", switching=True)
@@ -158,7 +272,20 @@ def test_files_with_different_columns(spark, tmp_path):
     assert [(r["file_no"], r["entry"], r["x"]) for r in got] == [(0, 0, None), (1, 0, 7)]
     with pytest.raises(ValueError):
         read_files(spark, [str(tmp_path / "c")])
+    with pytest.raises(Exception, match="c/.* lacks run, subrun, event"):
+        read_files(spark, [str(tmp_path / "c"), str(tmp_path / "a")]).collect()
     assert read_files(spark, [str(tmp_path / "c"), str(tmp_path / "a")], skip_bad=True).count() == 1
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no more")
+    bad = [str(tmp_path / "missing"), str(tmp_path / "broken.parquet"), str(tmp_path / "a")]
+    assert [r["file_no"] for r in read_files(spark, bad, skip_bad=True).collect()] == [2]
+    with pytest.raises(Exception):
+        read_files(spark, bad).collect()
+    # One read, whatever the number of files.
+    assert plan_nodes(read_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")])).count("Relation [") == 1
+
+
+def plan_nodes(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_levels_that_cannot_be_dropped(spark, tmp_path):
