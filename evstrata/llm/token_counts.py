@@ -7,16 +7,19 @@ double precision as they do.  A character that is no piece costs the least score
 as its UTF-8 bytes if the vocabulary has byte pieces.
 
 The pieces come from a public vocabulary file, whose order of merit becomes Zipf's log probabilities.
-Spaces only begin pieces and line ends are in none, so a text decouples into words; each is worked
-out once and remembered.
+No piece has a space after another character and line ends are in none, so a text decouples before
+every run of spaces; what lies between is worked out once and remembered.  A vocabulary for which that
+does not hold is run over whole texts.
 
-Defined results: a null or empty text has no tokens; repeated rows get equal rows each; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: a null or empty text has no tokens; repeated rows, and rows without an id, get equal
+rows each; a text is counted whole, however long; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +33,8 @@ SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by one Python worker; the memory starts anew beyond it.
 CACHE_WORDS = 800_000
+#: A run of spaces with the word after it, a word at the beginning of a line, or a line end.
+_RUNS = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+|\n")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -61,7 +66,7 @@ class CountingViterbi:
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_pieces = byte_pieces
-        #: Line ends decouple only if no piece holds one.
+        #: Texts decouple only if no piece holds a line end, or a space behind something else.
         self.splits = not any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p, _ in pieces)
         self.known: dict[str, int] = {}
 
@@ -105,10 +110,12 @@ class CountingViterbi:
         text = text.replace(SPACE_MARK, " ")
         if not text.startswith(" "):
             text = " " + text
-        if self.splits and "\0" not in text:
-            words = text.replace(" ", "\0" + SPACE_MARK).replace("\n", "\0\n\0").split("\0")
+        if not self.splits:
+            return self.count_word(text.replace(" ", SPACE_MARK))
+        if "  " in text or "\0" in text:
+            words = _RUNS.findall(text.replace(" ", SPACE_MARK))
         else:
-            words = [SPACE_MARK + w for w in text.split(" ")[1:]]
+            words = text.replace(" ", "\0" + SPACE_MARK).replace("\n", "\0\n\0").split("\0")
         known = self.known
         try:
             return sum([known[w] for w in words])

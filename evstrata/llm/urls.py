@@ -1,11 +1,13 @@
 """URL filters: pattern rules fetched by their rarest literal token (operator 9).
 
 Each rule is a regular expression over host and path, filed under that of its literal tokens that
-fewest URLs hold.  A URL's tokens fetch the rules filed under them, and only those are run.
+fewest URLs hold.  A URL's tokens fetch the rules filed under them, and only those are run.  A rule
+without a literal token is filed under the empty token, which every URL has.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and meets no rule;
-equal URLs are judged once and repeated rows get equal rows each; rules of equal length are told
-apart by their text; an empty table gives an empty result; extra columns are ignored.
+equal URLs are judged once and repeated rows, or rows without an id, get equal rows each; rules of
+equal length are told apart by their text; a URL is read whole, however long; an empty table gives an
+empty result; without rules everything is allowed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small, table
+from .shared import cut, small, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_TOKEN = r"[^a-z0-9]+"
@@ -73,24 +75,60 @@ def tokens_of(target: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.translate(target, UPPER, LOWER), NO_TOKEN, -1), lambda t: t != ""))
 
 
-def filed(targets: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
-    """The rules, each under its rarest token among ``targets`` (by count, then alphabet)."""
-    spark = targets.sparkSession
-    fields = "name string, verdict string, pattern string, listed boolean"
-    index = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.listed, list(r.literals)) for r in rules], fields + ", literals array<string>")
-    literals = index.select("name", "verdict", F.explode("literals").alias("token"))
+FIELDS = "name string, verdict string, pattern string, listed boolean, literals array<string>"
+
+
+def rule_table(spark: SparkSession, rules: tuple[UrlRule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, r.listed, list(r.literals)) for r in rules], FIELDS)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from text files, a line each: verdict, ``place`` or ``pattern``, the place or regular expression, and a pattern's tokens, between tabs.
+
+    A place is a host and the beginning of a path, as in ``example.com/en/``.  Tokens, with commas, are those that every URL
+    has that the pattern fits; without any the pattern is run on all.  Empty lines and those that begin with # are left out.
+    """
+    raw = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split("value", "\t", -1).alias("f"))
+    verdict, kind, what, tokens = (F.btrim(F.get("f", F.lit(i))) for i in range(4))
+    raw = raw.select(verdict.alias("verdict"), kind.alias("kind"), what.alias("what"), F.coalesce(tokens, F.lit("")).alias("tokens"))
+    good = F.col("verdict").isin("allow", "block") & F.col("kind").isin("place", "pattern") & (F.col("what") != "")
+    place = F.col("kind") == "place"
+    host, path_ = F.lower(F.substring_index("what", "/", 1)), F.expr("if(instr(what, '/') > 0, substr(what, instr(what, '/')), '')")
+    escaped = F.regexp_replace(F.concat(host, path_), "([^A-Za-z0-9/])", r"\\$1")
+    # The last part of a path may go on in a URL, so it is no whole token.
+    whole = F.concat(host, F.regexp_replace(path_, "[^/]*$", ""))
+    literals = F.when(place, tokens_of(whole)).otherwise(tokens_of(F.col("tokens")))
+    bad = F.raise_error(F.concat(F.lit("not a rule: "), "verdict", F.lit(" "), F.coalesce("kind", F.lit(""))))
+    return raw.select(
+        F.when(place, F.concat(host, path_)).otherwise(F.col("what")).alias("name"), F.when(F.coalesce(good, F.lit(False)), F.col("verdict")).otherwise(bad).alias("verdict"),
+        F.when(place, F.concat(F.lit(r"(?s)^([^/]*\.)?"), escaped)).otherwise(F.concat(F.lit("(?s)"), "what")).alias("pattern"), place.alias("listed"), literals.alias("literals"),
+    )
+
+
+def filed(targets: DataFrame, index: DataFrame) -> DataFrame:
+    """The rules, each under its rarest token among ``targets`` (by count, then alphabet), or under the empty one if it has none."""
+    key = ["name", "verdict", "pattern", "listed"]
+    literals = index.select(*key, F.explode("literals").alias("token"))
     used = targets.select(F.explode("tokens").alias("token")).join(small(literals.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = literals.join(used, "token", "left").groupBy("name", "verdict").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least"))
-    return index.join(rarest, ["name", "verdict"]).select("name", "verdict", "pattern", "listed", F.col("least.token").alias("token"))
+    # Rules by their literals first, so that a token that many have is looked up once.
+    counts = literals.select("token").distinct().join(used, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+    rarest = literals.join(small(counts), "token").groupBy(*key).agg(F.min(F.struct("n", "token")).alias("least"))
+    bare = index.filter(F.size("literals") == 0).select(*key, F.lit("").alias("token")).distinct()
+    return rarest.select(*key, F.col("least.token").alias("token")).unionByName(bare)
+
 
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = LISTED + PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, pattern_rule``: the longest listed rule decides, else any pattern that blocks.
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = LISTED + PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, pattern_rule``: the longest listed rule decides, else any pattern that blocks."""
+    ``rules`` may also be a table like that of ``read_rules``, of any size.
+    """
+    rules = rule_table(pages.sparkSession, rules) if isinstance(rules, tuple) else rules
     parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     targets = parts.filter("host <> '' or path <> ''").select(F.concat("host", "path").alias("target"), F.concat_ws(" ", "host", "path").alias("spaced")).distinct()
     targets = targets.select("target", tokens_of(F.col("spaced")).alias("tokens"))
-    index = filed(targets, rules)
-    fits = targets.select("target", F.explode("tokens").alias("token")).join(small(index), "token").filter(F.expr("target rlike pattern"))
+    index = cut(filed(targets, rules), "rules")
+    fetched = F.col("tokens") if index.filter("token = ''").isEmpty() else F.concat("tokens", F.array(F.lit("")))
+    fits = targets.select("target", F.explode(fetched).alias("token")).join(small(index), "token").filter(F.expr("target rlike pattern"))
     rank = F.struct(F.length("name"), "name", "verdict")
     found = fits.groupBy("target").agg(F.max(F.when(F.col("listed"), rank)).alias("best"), F.min(F.when(~F.col("listed") & (F.col("verdict") == "block"), F.col("name"))).alias("pattern_rule"))
     out = parts.withColumn("target", F.concat("host", "path")).join(found, "target", "left")

@@ -9,9 +9,12 @@ The text reader splits files at the magic, so proposals need one pass and offset
 of lengths.  Payloads are digested where they are read; only those that contain the magic, known
 after verification, are put together from their pieces.
 
-Defined results: a null payload is empty; a corrupt record ends its file's chain, and what follows is
-not returned; an empty archive gives no records; repeated pages make a record each; extra columns
-are ignored.
+Defined results: a null payload is empty; of equal payloads the record of the largest ``page_id`` is
+the response, and of rows that share it each is one; a null ``page_id`` is neither revisit nor referred
+to; a payload may be as long as a value can be, 2^31 - 1 bytes, and a longer one in an archive is an
+error; a corrupt record ends its file's chain, and what follows is not returned; an empty archive gives
+no records; an empty table gives an empty result; repeated pages make a record each; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
+#: Bytes of a file by which pieces find the record they belong to.
+BIN = 1 << 20
+LONGEST = 2**31 - 1
 
 
 def _urn(page: Column) -> Column:
@@ -130,6 +136,8 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     reached = cut(_reached(candidates.select("file", "block", "start", "next")), "reached")
     # Pieces that end before their record does are continued by the pieces after them.
     records = candidates.join(reached.select("file", "start"), ["file", "start"])
+    too_long = F.raise_error(F.concat(F.lit("payload of more than 2^31 - 1 bytes in "), "file"))
+    records = records.withColumn("length", F.when(F.col("length") > LONGEST, too_long).otherwise(F.col("length")))
     # The last record of a file may lack its final break.
     whole = F.col("start") + len(MAGIC) + F.col("size") >= F.col("next") - len(BREAK)
     columns = ["file", "start", "length", "head", "digest"]
@@ -154,16 +162,13 @@ def _joined(spark: SparkSession, path: str, split: DataFrame, columns: list[str]
     """Records whose payload holds the magic, put together from their pieces; only their files are read again."""
     pieces = _pieces(spark, path, True).join(small(split.select("file").distinct()), "file", "left_semi")
     pieces = _with_offsets(pieces).select("file", "start", "bytes")
-    # A piece belongs to the last split record that starts at or before it, if that reaches so far.
-    marks = split.select("file", F.col("start").alias("at"), F.lit(None).cast("binary").alias("bytes"), "next", F.col("start").alias("owner"))
-    both = marks.unionByName(pieces.select("file", F.col("start").alias("at"), "bytes", F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("owner")))
-    # Marks sort before the piece at the same offset.
-    order = Window.partitionBy("file").orderBy("at", F.col("bytes").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumns({"owner": F.last("owner", True).over(order), "end": F.last("next", True).over(order)}).filter("bytes is not null and at < end")
-    glued = both.groupBy("file", F.col("owner").alias("start")).agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
-    magic = F.lit(MAGIC.encode())
-    text = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, magic, x["bytes"]))
-    out = split.join(glued, ["file", "start"]).withColumn("payload", F.substring(text, F.lit(len(MAGIC)) + F.col("body_at").cast("int") + 1, F.col("length").cast("int")))
+    # A piece belongs to the record whose bytes it starts among; a record is listed in every bin that it reaches into.
+    spans = split.select("file", F.col("start").alias("owner"), F.col("next").alias("end"), F.explode(F.sequence(F.expr(f"start div {BIN}"), F.expr(f"(next - 1) div {BIN}"))).alias("bin"))
+    owned = pieces.withColumn("bin", F.expr(f"start div {BIN}")).join(spans, ["file", "bin"]).filter("start >= owner and start < end")
+    glued = owned.groupBy("file", F.col("owner").alias("start")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), F.col("bytes").cast("string").alias("text")))).alias("parts"))
+    # Bytes stay what they are in a string, and joining an array copies each once.
+    text = F.array_join(F.transform("parts", lambda x: x["text"]), MAGIC).cast("binary")
+    out = split.join(glued, ["file", "start"]).withColumn("payload", F.substring(text, F.col("body_at").cast("int") + 1, F.col("length").cast("int")))
     return out.withColumn("digest", F.sha1("payload")).select(*columns)
 
 

@@ -48,6 +48,30 @@ def test_magic_in_payloads_is_rejected(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_one_archive_of_many_pieces(spark):
+    """A payload of thousands of magics, whose record reaches over many bins, beside repeated rows and null ids."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        big = "".join(f"{i} WARC/1.1\r\nContent-Length: {i}\r\n\r\n" + "é" * (i % 700) for i in range(6000))
+        rows = [(1, "u", big), (2, "u", "plain"), (3, "u", "z" * 2000), (3, "u", "z" * 2000), (4, "u", "z" * 2000), (None, "u", "z" * 2000), (5, "u", big + "end")]
+        path = scratch_path(spark, "pieces")
+        warc.write_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+        got = warc.read_archives(spark, path).collect()
+        payloads = sorted((bytes(r["payload"]) for r in got), key=len)
+        assert payloads == sorted((b"" if (i, t[0]) == (3, "z") else t.encode() for i, _, t in rows), key=len)
+        assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted([(1, "response", None), (2, "response", None), (3, "revisit", 4), (3, "revisit", 4), (4, "response", None), (None, "response", None), (5, "response", None)], key=str)
+        assert sorted(r["digest"] for r in warc.read_archives(spark, path, payload=False).collect()) == sorted(r["digest"] for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_payload_beyond_what_a_value_holds_is_an_error(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes((HEAD + "3000000000\r\n\r\nabc\r\n\r\n").encode())
+    with pytest.raises(Exception, match="payload of more than"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
 def test_corrupt_record_ends_the_chain(spark, tmp_path):
     good = HEAD + "3\r\n\r\nabc\r\n\r\n"
     (tmp_path / "a").mkdir()
@@ -83,10 +107,44 @@ def test_rules_and_hosts(spark):
 
 def test_rules_are_filed_under_their_rarest_token(spark):
     targets = spark.createDataFrame([("a", ["com", "example", "en"])] * 3 + [("b", ["com", "en"])] * 5, "target string, tokens array<string>")
-    got = {r["name"]: r["token"] for r in urls.filed(targets, urls.LISTED).collect()}
+    got = {r["name"]: r["token"] for r in urls.filed(targets, urls.rule_table(spark, urls.LISTED)).collect()}
     assert got["example.com/en/"] == "example" and got["com/"] == "com" and got["net/es/"] in ("net", "es")
 
 
+def test_fetched_rules_decide_as_all_rules_do(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    pages = [(r["page_id"], r["url"]) for r in table(spark, sf_dir, "pages").collect()] + [(-1, "http://x.org/a/" + "b/" * 20_000 + "casino"), (None, "http://casino.net/es/")]
+    words = sorted({w for _, u in pages for w in re.split("[^a-z0-9]+", (u or "").lower()) if w})[:60]
+    some = lambda: str(rng.choice(words))
+    rules = urls.LISTED + urls.PATTERNS + (urls.UrlRule("all-digits", "block", r"(?s)/[0-9]+$", (), False), urls.UrlRule("nothing", "allow", "(?s).*", (), True))
+    rules += tuple(urls.UrlRule.words("block", some(), some()) for _ in range(15)) + tuple(urls.UrlRule.place(str(rng.choice(["allow", "block"])), f"{some()}.{some()}", f"/{some()}") for _ in range(15))
+    docs = spark.createDataFrame(pages, "page_id bigint, url string")
+    got = sorted(((r["page_id"], r["rule"], r["verdict"], r["pattern_rule"]) for r in urls.judge(docs, rules).collect()), key=str)
+    want = []
+    for i, u in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        target = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]) + m[2]) if m else ""
+        fit = [r for r in rules if target and re.search(r.pattern, target)]
+        best = max(((len(r.name), r.name, r.verdict) for r in fit if r.listed), default=None)
+        pattern = min((r.name for r in fit if not r.listed and r.verdict == "block"), default=None)
+        want.append((i, best and best[1], best[2] if best else "block" if pattern else "allow", pattern))
+    assert got == sorted(want, key=str)
+
+
+def test_rules_without_literals_and_from_files(spark, tmp_path):
+    (tmp_path / "rules.tsv").write_text("# a comment\n\nblock\tplace\tExample.com/en/x\nallow\tplace\tnet\nblock\tpattern\t/[0-9]{4}/\nblock\tpattern\t[.-]shop[./]\tshop\n")
+    rules = urls.read_rules(spark, str(tmp_path / "rules.tsv"))
+    cases = {"http://a.example.com/en/xyz": ("example.com/en/x", "block"), "http://b.net/2020/": ("net", "allow"), "http://b.org/2020/": (None, "block"), "http://my.shop/": (None, "block"), "http://my.shopping/": (None, "allow"), "http://exampleXcom/en/x": (None, "allow")}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    assert [(r["rule"], r["verdict"]) for r in urls.judge(pages, rules).orderBy("page_id").collect()] == list(cases.values())
+    everything = (urls.UrlRule("everything", "block", ".*", (), False),)
+    assert {r["verdict"] for r in urls.judge(pages, everything).collect()} == {"block"}
+    assert {r["verdict"] for r in urls.judge(pages, ()).collect()} == {"allow"}
+    (tmp_path / "bad.tsv").write_text("deny\tplace\tx.org\n")
+    with pytest.raises(Exception, match="not a rule"):
+        urls.judge(pages, urls.read_rules(spark, str(tmp_path / "bad.tsv"))).collect()
+
+
 # ---------------------------------------------------------------- decontamination
 
 

@@ -111,13 +111,13 @@ def unigram():
 
     pieces = token_counts.unigram_pieces(token_counts.vocabulary_path())
     reference = Tokenizer(models.Unigram([("<unk>", -1.0), *pieces, *((f"<0x{i:02X}>", -2.0) for i in range(256))], 0, True))
-    reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     return token_counts.CountingViterbi(pieces), reference
 
 
 def test_counts_equal_the_unigram_tokenizer(unigram, spark, sf_dir):
     mine, reference = unigram
-    texts = [r["text"] for r in table(spark, sf_dir, "documents").collect()] + ["", "  a  b ", "a\nb\n\nc", "日本語のテキスト", "▁▁x", "\0a b", "𝔘nicode 🎉🎉", "a" * 300]
+    texts = [r["text"] for r in table(spark, sf_dir, "documents").collect()] + ["", "  a  b ", "    indented\n        more  \n\t x\n  \n", "a" + " " * 37 + "b   ", " ", "   ", "\n \n  a", "a\nb\n\nc", "日本語のテキスト", "▁▁x", "\0a b", "𝔘nicode 🎉🎉", "a" * 300]
     for t in texts:
         assert mine.count(t) == len(reference.encode(t, add_special_tokens=False).ids), t[:40]
 
@@ -128,6 +128,18 @@ def test_ties_go_to_the_longer_last_piece():
     assert m.count_word("▁abc") == 2
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab  \n▁\t\0é", max_size=30))
+def test_any_spacing(unigram, text):
+    mine, reference = unigram
+    assert mine.count(text) == len(reference.encode(text, add_special_tokens=False).ids)
+
+
+def test_vocabulary_with_inner_spaces_is_run_over_whole_texts():
+    m = token_counts.CountingViterbi([("▁a", -1.0), ("▁b", -1.0), ("▁a▁b", -1.5), ("c", -3.0), ("▁", -9.0)])
+    assert not m.splits and m.count("a b") == 1 and m.count("a b a") == 2 and m.count("c a b") == 3
+
+
 def test_token_count_edges(edge_docs, no_docs, unigram):
     rows = token_counts.count_tokens(edge_docs).collect()
     texts = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
