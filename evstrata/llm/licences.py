@@ -50,11 +50,11 @@ OTHERS = (
     "Redistribution of wealth was the subject of the debate.", "The museum charges no fee and asks for no permission.", "The licence of the radio station ends in March.", "Proprietary trading was banned at the bank.",
     "She was licensed as a nurse in 1998.", "Warranty claims have to be sent by post.", "The version under discussion was released last year.", "The public works department is closed.",
 )
-# Usual words of English, which speak for nothing.
+# Usual words, which speak for nothing; the last is one of German.
 COMMON = (
     "the of and to in is that it was for on are with as his they be at this have from or had by not but what all were when we there can an your which their said if do will each about how up out "
     "them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may long little "
-    "very after called just where most know any must under list part possible related later open above a i you your without back second ten"
+    "very after called just where most know any must under list part possible related later open above a i you your without back second ten mit"
 ).split()
 _COMMON = frozenset(COMMON)
 UNKNOWN = "unknown"
@@ -205,17 +205,17 @@ def _runs(n: int) -> Column:
 
 
 def licence_paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Paragraphs that hold a word of the classifier: ``text_key, paragraph, words``; of equal texts once."""
+    """Paragraphs that hold a word of the classifier: ``text_key, paragraph, words, id`` (a digest of the words); of equal texts once."""
     gate = any_of(train().words)
     text = F.col(text_col)
     rows = docs.filter(text.rlike(gate)).select(text_key(text).alias("text_key"), F.transform(F.split(text, PARAGRAPH_END, -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))).alias("all"))
     rows = rows.select("text_key", F.inline(F.filter("all", lambda x: x["text"].rlike(gate))).alias("paragraph", "text"))
     words = F.filter(F.split(F.translate("text", UPPER, LOWER), NO_WORD, -1), lambda x: x != "")
-    return rows.select("text_key", "paragraph", F.array_join(words, " ").alias("words")).distinct()
+    return rows.select("text_key", "paragraph", F.array_join(words, " ").alias("words")).withColumn("id", F.md5("words")).dropDuplicates(["text_key", "paragraph", "id"])
 
 
 def classify(paragraphs: DataFrame, confirm: float = 0.6) -> DataFrame:
-    """``words, family, probability, confirmed`` of each of the distinct ``words``."""
+    """``id, family, probability, confirmed`` of each of the distinct ``words``."""
     spark = paragraphs.sparkSession
     model = train()
     k = len(model.classes) - 1
@@ -227,7 +227,7 @@ def classify(paragraphs: DataFrame, confirm: float = 0.6) -> DataFrame:
             parts = {" ".join(words[j : j + 3]) for j in range(len(words) - 2)} or {" ".join(words)}
             templates += [(f"{family}/{i}", family, part, len(parts)) for part in parts]
     templates = F.broadcast(spark.createDataFrame(templates, "template string, family string, gram string, parts int"))
-    once = cut(paragraphs.select("words").distinct().withColumn("id", F.md5("words")), "paragraphs")
+    once = cut(paragraphs.select("id", "words").dropDuplicates(["id"]), "paragraphs")
     every = once.select("id", F.split("words", " ", -1).alias("w"))
     parts = every.select("id", F.explode(F.array_distinct(F.concat(*(_runs(n) for n in (1, 2, 3))))).alias("gram"))
     logits = parts.join(weights, "gram").groupBy("id").agg(*(F.sum(F.col("weight")[i]).alias(f"z{i}") for i in range(k)))
@@ -237,16 +237,16 @@ def classify(paragraphs: DataFrame, confirm: float = 0.6) -> DataFrame:
     for i in reversed(range(k)):
         best = F.when(z[i] == top, model.classes[i]).otherwise(best)
     total = sum((F.exp(x - top) for x in z), F.lit(0.0))
-    judged = once.join(small(logits), "id", "left").select("id", "words", best.alias("best"), F.round(1 / total, 6).alias("probability"))
+    judged = once.select("id").join(small(logits), "id", "left").select("id", best.alias("best"), F.round(1 / total, 6).alias("probability"))
     judged = judged.withColumn("family", F.when((F.col("best") != UNKNOWN) & (F.col("probability") >= model.threshold), F.col("best")).otherwise(UNKNOWN)).drop("best")
     held = parts.join(templates, "gram").groupBy("id", "template", "family").agg((F.count("*") / F.first("parts")).alias("held")).groupBy("id", "family").agg(F.max("held").alias("held"))
-    return judged.join(small(held), ["id", "family"], "left").select("words", "family", "probability", (F.coalesce("held", F.lit(0.0)) >= confirm).alias("confirmed"))
+    return judged.join(small(held), ["id", "family"], "left").select("id", "family", "probability", (F.coalesce("held", F.lit(0.0)) >= confirm).alias("confirmed"))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, families, n_licence_paragraphs, n_confirmed, n_unknown`` for each document."""
     paragraphs = cut(licence_paragraphs(docs, text_col), "licences")
-    found = paragraphs.join(small(cut(classify(paragraphs), "classified")), "words")
+    found = paragraphs.select("text_key", "id").join(small(cut(classify(paragraphs), "classified")), "id")
     known = F.col("family") != UNKNOWN
     by_text = found.groupBy("text_key").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("family")))), ",").alias("families"), F.count_if(known).alias("n_licence_paragraphs"), F.count_if(known & F.col("confirmed")).alias("n_confirmed"), F.count_if(~known).alias("n_unknown")

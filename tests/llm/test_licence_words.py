@@ -91,7 +91,7 @@ def test_null_and_repeated_ids_are_judged_by_text(spark):
 
 def test_all_ngrams_of_notices_are_features_and_gated():
     model = licences.train()
-    assert {"lesser", "affero", "mit"} <= set(model.weights)
+    assert {"lesser", "affero", "mit license"} <= set(model.weights)
     for gram, w in model.weights.items():
         if max(w) > 0:
             assert set(gram.split()) & set(model.words)
