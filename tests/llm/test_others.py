@@ -288,6 +288,29 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_turns_of_equal_and_missing_number(spark):
+    """Dialogues hold every row once and without gaps, whatever the turns are; a very long text among them."""
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(2)) or None, [None, 1, 1, 400, int(rng.integers(2000))][int(rng.integers(5))], ["ann", "bob", "system", None][int(rng.integers(4))], "t" * int(rng.integers(4))) for _ in range(600)]
+    rows += [(1, None, "ann", "same")] * 50 + [(1, 7, "bob", "long " * 100_000)]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert out.columns == ["conv_id", "perspective", "turn", "role", "rendered", "start", "mask_start", "mask_length"]
+    found = {}
+    for r in out.collect():
+        found.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    assert set(found) == {(c, p) for c in (1, None) for p in ("ann", "bob", "unknown")}
+    for (conv, person), turns in found.items():
+        turns.sort(key=lambda r: r["start"])
+        at = 0
+        for r in turns:
+            assert r["start"] == at and (r["mask_start"] is not None) == (r["role"] == person)
+            at += len(r["rendered"])
+        order = [(-1 if r["turn"] is None else r["turn"], r["role"]) for r in turns]
+        assert order == sorted(order)
+        mine = [(t, q or "unknown") for c, t, q, _ in rows if c == conv]
+        assert sorted(map(str, mine)) == sorted(str((r["turn"], r["role"])) for r in turns)
+
+
 def table_column():
     from pyspark.sql import functions as F
 
