@@ -60,6 +60,11 @@ def first_of_old_files(fragments: DataFrame, by: tuple[str, ...], level: str, ve
     return rows.withColumns({"kind": F.when(old, whole).otherwise(F.col("kind")), "ranges": F.when(old, nothing).otherwise(F.col("ranges"))}).drop("_version", "_entry")
 
 
+def dummy_product(kind: str) -> Column:
+    """What stands for a product of a type that is not there."""
+    return F.lit(None).cast(kind)
+
+
 def available(statuses: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """A product is there after combination if any fragment has it."""
     return statuses.groupBy(*by).agg(F.bool_or(F.col("status") == "present").alias("available"))
@@ -75,10 +80,15 @@ def bin_number(x: Column, low: float, high: float, bins: int) -> Column:
     return F.when(x < low, 0).when(x >= high, bins + 1).otherwise(F.least(F.lit(bins), F.floor((x - low) * bins / (high - low)).cast("int") + 1)).cast("int")
 
 
-def histogram(df: DataFrame, axes: dict[str, tuple[Column, float, float, int]], by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts by bin; each axis is a value, its limits and a number of bins.  Empty bins have no row."""
+def histogram(df: DataFrame, axes: dict[str, tuple[Column, float, float, int]], by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """Counts by bin, or sums of ``weight``; each axis is a value, its limits and a number of bins.  Empty bins have no row.
+
+    A folder of histograms is one table with their names among ``by``.
+    """
     bins = {name: bin_number(*axis) for name, axis in axes.items()}
-    return df.select(*by, *(b.alias(n) for n, b in bins.items())).groupBy(*by, *bins).agg(F.count("*").alias("content"))
+    content = F.count("*") if weight is None else F.sum("_weight")
+    one = F.lit(1) if weight is None else weight
+    return df.select(*by, *(b.alias(n) for n, b in bins.items()), one.alias("_weight")).groupBy(*by, *bins).agg(content.alias("content"))
 
 
 def merge_histograms(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:

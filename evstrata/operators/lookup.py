@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def read_positions(rows: DataFrame, positions: DataFrame, entry: str = "entry")
     return positions.join(rows, entry)
 
 
+def resolve_products(available: dict[str, str], wanted: list[str]) -> dict[str, str]:
+    """For each wanted name ``type_label_instance_process``, the parts of which may hold wildcards, the column of the newest fitting product."""
+    out = {}
+    for name in wanted:
+        fits = [p for p in available if fnmatch.fnmatchcase(p, name)]
+        if not fits:
+            raise LookupError(f"no product {name} in the secondary input")
+        out[name] = available[fits[-1]]
+    return out
+
+
+def mixed(rows: DataFrame, positions: DataFrame, available: dict[str, str], wanted: list[str], auxiliary: tuple[str, ...] = ("run", "subrun", "event", "ts")) -> DataFrame:
+    """What mixing reads: for each position the auxiliary of its entry and the wanted products."""
+    columns = resolve_products(available, wanted)
+    return read_positions(rows, positions).select("pos", "entry", *auxiliary, *dict.fromkeys(columns.values()))
+
+
 def without_children(parents: DataFrame, children: DataFrame, key: str, child_key: str) -> DataFrame:
     """Containers that hold nothing."""
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_anti")

@@ -115,8 +115,11 @@ def file_statistics(events: DataFrame, file: str = "file_no") -> DataFrame:
 Plugin = Callable[[DataFrame], dict[str, str]]
 
 
-def catalog_metadata(events: DataFrame, file: str = "file_no", run_type: str | None = None, version: int = 15, extra: dict[str, str] | None = None, plugins: tuple[Plugin, ...] = ()) -> DataFrame:
-    """Name and value rows per file, in the order ``seq``; a run list is given only where a run type is known."""
+def catalog_metadata(events: DataFrame, file: str = "file_no", run_type: str | None = None, version: int = 15, extra: dict[str, str] | None = None, plugins: tuple[Plugin, ...] = (), parents: DataFrame | None = None) -> DataFrame:
+    """Name and value rows per file, in the order ``seq``; a run list is given only where a run type is known.
+
+    ``parents`` names the files, as ``parent``, that a file was made from, once or more; a file without any has no such row.
+    """
     for plugin in plugins:
         extra = {**plugin(events), **(extra or {})}
     s = file_statistics(events, file)
@@ -128,11 +131,16 @@ def catalog_metadata(events: DataFrame, file: str = "file_no", run_type: str | N
     if run_type is not None:
         runs = F.transform("subruns", lambda x: F.concat(F.lit("["), F.concat_ws(",", x["run"], x["subrun"], F.lit(json.dumps(run_type))), F.lit("]")))
         pairs.append(("runs", F.concat(F.lit("["), F.array_join(runs, ","), F.lit("]"))))
+    if parents is not None:
+        quoted = F.regexp_extract(F.to_json(F.struct(F.col("parent").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+        lists = parents.groupBy(file).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(quoted)), ","), F.lit("]")).alias("_parents"))
+        s = s.join(lists, file, "left")
+        pairs.append(("parents", F.col("_parents")))
     # Values set by the job come last and override.
     for name, value in (extra or {}).items():
         pairs = [p for p in pairs if p[0] != name] + [(name, F.lit(value))]
     rows = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(n).alias("name"), v.alias("value")) for i, (n, v) in enumerate(pairs)))
-    return s.select(file, F.inline(rows))
+    return s.select(file, F.inline(F.filter(rows, lambda x: x["value"].isNotNull())))
 
 
 #: Reasons that forbid passing a file through unread, by flag, in the order they are reported.

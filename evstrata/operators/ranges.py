@@ -38,6 +38,25 @@ def merge_ranges(ranges: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> Data
     return numbered.groupBy(*by, "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_island")
 
 
+def merge_range_sets(parts: DataFrame, by: tuple[str, ...], order: str, compact: bool = False) -> DataFrame:
+    """The sets of several files as one: ``by, run, subrun, begin, end``.
+
+    All parts of a set are of one run.  In full, their ranges are kept as they are; compact, a sub-run has one range,
+    and it is an error if one that is added meets what was gathered before it in the order of ``order``.
+    """
+    runs = parts.groupBy(*by).agg(F.min(RUN).alias("_low"), F.max(RUN).alias("_high"))
+    clash = F.raise_error(F.concat(F.lit("range sets of different runs: "), "_low", F.lit(" and "), "_high"))
+    one = F.when(F.col("_low") == F.col("_high"), F.col(RUN)).otherwise(clash)
+    rows = parts.join(runs, list(by)).withColumn(RUN, one)
+    if not compact:
+        return rows.select(*by, RUN, SUBRUN, "begin", "end")
+    before = Window.partitionBy(*by, SUBRUN).orderBy(order, "begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    meets = (F.col("begin") < F.max("end").over(before)) & (F.min("begin").over(before) < F.col("end"))
+    rows = rows.withColumn("_meets", F.coalesce(meets, F.lit(False)))
+    checked = F.when(F.col("_meets"), F.raise_error(F.concat(F.lit("ranges meet in sub-run "), SUBRUN))).otherwise(F.col("begin"))
+    return rows.withColumn("begin", checked).groupBy(*by, RUN, SUBRUN).agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+
+
 def relation_counts(fragments: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN), file: str = "file_no") -> DataFrame:
     """For each sub-run how many pairs of its fragments, from different files, are the ``same``, ``overlap`` or are ``disjoint``.
 

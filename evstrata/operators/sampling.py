@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import EVENT, RUN, SUBRUN, EventID, id_struct
@@ -66,6 +66,16 @@ def draws(spark: SparkSession, datasets: list[DataSet], seed: int, n: int) -> Da
     return spark.range(1, n + 1).withColumnRenamed("id", "draw").mapInArrow(run, "draw bigint, dataset string")
 
 
+def _from_start(datasets: list[DataSet]) -> Column:
+    """Events from the position on that their set starts at."""
+    out = F.lit(True)
+    for d in datasets:
+        at = EventID.parse(d.skip_to)
+        if at:
+            out = out & ((F.col("dataset") != d.name) | (id_struct() >= at.struct()))
+    return out
+
+
 def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed: int, n: int, first: EventID = EventID(1, 0, 1)) -> DataFrame:
     """Sampled events under new consecutive IDs with their old IDs, sets, weights and probabilities.
 
@@ -76,12 +86,7 @@ def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed
     plan = draws(spark, datasets, seed, n).withColumn("_block", F.expr("draw div 100000"))
     plan = with_ordinal(plan, ("draw",), within=("dataset",), chunk=("_block",)).drop("_block")
     sets = spark.createDataFrame([(d.name, float(d.weight), d.weight / total) for d in datasets], "dataset string, weight double, probability double")
-    start = F.lit(True)
-    for d in datasets:
-        at = EventID.parse(d.skip_to)
-        if at:
-            start = start & ((F.col("dataset") != d.name) | (id_struct() >= at.struct()))
-    ranked = with_ordinal(events.filter(start), (EVENT,), within=("dataset",))
+    ranked = with_ordinal(events.filter(_from_start(datasets)), (EVENT,), within=("dataset",))
     matched = plan.join(ranked.select("dataset", "ordinal", F.col(RUN).alias("old_run"), F.col(SUBRUN).alias("old_subrun"), F.col(EVENT).alias("old_event")), ["dataset", "ordinal"], "left")
     # One row: where the sample ends.
     end = matched.agg(F.coalesce(F.min(F.when(F.col("old_event").isNull(), F.col("draw"))), F.lit(n + 1)).alias("_end"))
@@ -91,6 +96,23 @@ def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed
     )
 
 
+def next_events(events: DataFrame, sampled: DataFrame, datasets: list[DataSet]) -> DataFrame:
+    """For each set the ID of the next event that it would have given, null if there is none."""
+    sets = events.sparkSession.createDataFrame([(d.name,) for d in datasets], "dataset string")
+    taken = sampled.groupBy("dataset").agg(F.count("*").alias("_taken"))
+    wanted = sets.join(taken, "dataset", "left").select("dataset", (F.coalesce("_taken", F.lit(0)) + 1).alias("ordinal"))
+    ranked = with_ordinal(events.filter(_from_start(datasets)), (EVENT,), within=("dataset",))
+    at = ranked.select("dataset", "ordinal", F.col(RUN).alias("next_run"), F.col(SUBRUN).alias("next_subrun"), F.col(EVENT).alias("next_event"))
+    return wanted.join(at, ["dataset", "ordinal"], "left").drop("ordinal")
+
+
+def configuration(datasets: list[DataSet]) -> list[tuple[str, float, float, str]]:
+    """Name, weight, probability and start of each set, as a job reports them."""
+    check(datasets)
+    total = sum(d.weight for d in datasets)
+    return [(d.name, d.weight, d.weight / total, d.skip_to or "(first event)") for d in sorted(datasets, key=lambda d: d.name)]
+
+
 def summary(sampled: DataFrame, spark: SparkSession, datasets: list[DataSet]) -> DataFrame:
     """Per set: draws, share of all draws, expected probability and weight."""
     total = sum(d.weight for d in datasets)

@@ -124,8 +124,10 @@ def last_in_subrun(events: DataFrame) -> DataFrame:
     return events.join(last, [RUN, SUBRUN]).withColumn("is_last_in_subrun", F.col(EVENT) == F.col("_last")).drop("_last")
 
 
-def unsorted_order(events: DataFrame) -> DataFrame:
-    """Reading order without event sorting: by run and sub-run, then as stored."""
+def unsorted_order(events: DataFrame, first: EventID | None = None) -> DataFrame:
+    """Reading order without event sorting: by run and sub-run, then as stored; a start event would be meaningless and is an error."""
+    if first is not None:
+        raise ValueError("a first event needs events in order")
     return with_ordinal(events, ("entry",), name="position")
 
 

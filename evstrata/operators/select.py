@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
@@ -76,7 +76,31 @@ def registry(products: DataFrame, stored: DataFrame) -> DataFrame:
     return products.join(stored.select("product").distinct().withColumn("_in", F.lit(True)), "product", "left").select("product", "branch_type", F.coalesce("_in", F.lit(False)).alias("present"), F.coalesce(~F.col("_in"), F.lit(True)).alias("dropped"))
 
 
+def select_for_output(products: DataFrame, rules: list[str]) -> DataFrame:
+    """Products that rules keep, but for transient ones and results that were not produced here."""
+    name = F.concat_ws("_", *(F.coalesce(F.col(p), F.lit("")) for p in PARTS))
+    kept = F.lit(False)
+    for rule in map(Rule.parse, rules):
+        pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in rule.pattern)
+        kept = F.when(name.rlike(f"(?s)^{pattern}$"), rule.keep).otherwise(kept)
+    persistent = ~F.coalesce("transient", F.lit(False)) & ((F.col("branch_type") != "InResults") | F.col("produced"))
+    return products.filter(kept & persistent)
+
+
 def fill_begin_time(containers: DataFrame, events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """A container without a begin time takes that of its first event by ID."""
-    first = events.groupBy(*keys).agg(F.min_by("ts", F.struct("run", "subrun", "event")).alias("_ts"))
-    return containers.join(first, list(keys), "left").withColumn("begin_ts", F.coalesce("begin_ts", "_ts")).drop("_ts")
+    """A run or sub-run without a begin time takes that of the next event in order: its own first, else the first of what follows.
+
+    The search runs over one row per sub-run, inside runs, and over one row per run.
+    """
+    first = F.min_by("ts", F.struct("run", "subrun", "event"))
+    if keys == ("run",):
+        near = containers.select("run").distinct().join(events.groupBy("run").agg(first.alias("_ts")), "run", "full")
+    else:
+        rows = containers.select("run", "subrun").distinct().join(events.groupBy("run", "subrun").agg(first.alias("_ts")), ["run", "subrun"], "full")
+        ahead = Window.partitionBy("run").orderBy("subrun").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        near = rows.withColumn("_ts", F.first("_ts", True).over(ahead))
+    whole = near.groupBy("run").agg(F.min_by("_ts", F.struct(*keys)).alias("_ts"))
+    later = Window.partitionBy(F.lit(0)).orderBy("run").rowsBetween(1, Window.unboundedFollowing)
+    whole = whole.select("run", F.first("_ts", True).over(later).alias("_later"))
+    out = containers.join(near, list(keys), "left").join(whole, "run", "left")
+    return out.withColumn("begin_ts", F.coalesce("begin_ts", "_ts", "_later")).drop("_ts", "_later")

@@ -209,12 +209,30 @@ def product_registry(spark, d):
     return select.registry(products, spark.createDataFrame([("a",), ("c",), ("x",)], "product string"))
 
 
-@query(f"""with {EVENTS_SQL}, f as (select run, subrun, arg_min(ts, (run, subrun, event)) as t from h1 group by 1, 2)
-select run, subrun, case when subrun % 2 = 0 then t else make_timestamp(2020, 1, 1, 0, 0, 0) end as begin_ts from f""")
+@query(f"""with {EVENTS_SQL}, c as (select distinct run, subrun from h1 union select distinct run, 24 from h1 union select distinct run + 1, 0 from h1), f as (select run, subrun, arg_min(ts, event) as t from h1 group by 1, 2),
+n as (select c.run, c.subrun, arg_min(f.t, (f.run, f.subrun)) as t from c left join f on (f.run, f.subrun) >= (c.run, c.subrun) group by 1, 2)
+select run, subrun, case when subrun % 2 = 0 then t else make_timestamp(2020, 1, 1, 0, 0, 0) end as begin_ts from n""")
 def fill_begin_time(spark, d):
     events = events_view(spark, d)
     known = F.when(F.col("subrun") % 2 == 1, F.expr("timestamp_ntz'2020-01-01 00:00:00'"))
-    return select.fill_begin_time(events.select("run", "subrun").distinct().withColumn("begin_ts", known), events, ("run", "subrun")).select("run", "subrun", "begin_ts")
+    # Beside the sub-runs of the table some that hold nothing, at the end of each run and beyond the last.
+    runs = events.select("run").distinct()
+    empty = runs.select("run", F.lit(24).alias("subrun")).union(runs.select(F.col("run") + 1, F.lit(0)))
+    containers = events.select("run", "subrun").union(empty).distinct().withColumn("begin_ts", known)
+    return select.fill_begin_time(containers, events, ("run", "subrun")).select("run", "subrun", "begin_ts")
+
+
+@query("""with p as (select p_partkey, split_part(p_type, ' ', 1) as type, p_brand as label, case when p_size % 2 = 0 then 'a' else '' end as instance, 'P' || (p_size % 3) as process,
+  case when p_partkey % 5 = 0 then 'InResults' else 'InEvent' end as branch_type, p_partkey % 3 = 0 as produced, p_partkey % 7 = 0 as transient from part)
+select p_partkey, type, label, instance, process from p where not transient and (branch_type <> 'InResults' or produced)
+  and case when type = 'PROMO' and process = 'P2' then true when instance = '' then false when label like 'Brand#1%' then true else false end""")
+def select_for_output(spark, d):
+    part = read_table(spark, d, "part")
+    products = part.select(
+        "p_partkey", F.substring_index("p_type", " ", 1).alias("type"), F.col("p_brand").alias("label"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("").alias("instance"), F.concat(F.lit("P"), (F.col("p_size") % 3).cast("string")).alias("process"),
+        F.when(F.col("p_partkey") % 5 == 0, "InResults").otherwise("InEvent").alias("branch_type"), (F.col("p_partkey") % 3 == 0).alias("produced"), (F.col("p_partkey") % 7 == 0).alias("transient"),
+    )
+    return select.select_for_output(products, ["drop *", "keep *_Brand#1*_*_*", "drop *_*__*", "keep PROMO_*_*_P2"]).select("p_partkey", "type", "label", "instance", "process")
 
 
 # ---------------------------------------------------------------- lookups
@@ -229,6 +247,14 @@ def secondary_coalesce(spark, d):
     return lookup.coalesce_lookup(docs, [labels, second], ("doc_id",), "quality", F.lit(-1)).select("doc_id", "quality")
 
 
+@query(f"with {EVENTS_SQL}, n as (select count(*) as n from h1), p as (select cast(i as bigint) as pos, cast((i * 11 + 5) % n.n as bigint) as entry from n, range(0, (select count(*) from events)) t(i)) select pos, entry, run, subrun, event, ts, value, dataset from p join h1 using (entry)")
+def mix_products(spark, d):
+    events = events_view(spark, d)
+    n = events.count()
+    positions = spark.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 11 + 5) % n).alias("entry"))
+    return lookup.mixed(events, positions, _PRODUCTS, ["double_sensor_*_DAQ", "string_trigger_type_*"])
+
+
 @query(f"with {EVENTS_SQL}, n as (select count(*) as n from h1), p as (select cast(i as bigint) as pos, cast((i * 37) % n.n as bigint) as entry from n, range(0, (select count(*) from events)) t(i)) select pos, entry, run, subrun, event, value from p join h1 using (entry)")
 def mix_entries(spark, d):
     events = events_view(spark, d).select(*KEYS, "entry", "value")
@@ -279,6 +305,12 @@ def range_merge(spark, d):
 _H6 = f'{COPIES_SQL}, f as (select file_no, run, subrun, min(event) as b, max(event) + 1 as e from h2 group by 1, 2, 3)'
 
 
+@query(f'with {_FRAGMENTS} select run, subrun, min("begin") as "begin", max("end") as "end" from f group by 1, 2')
+def range_sets_compact(spark, d):
+    f = _fragments(spark, d).withColumn("set", F.col("run"))
+    return ranges.merge_range_sets(f, ("set",), "file_no", compact=True).drop("set")
+
+
 @query(f"""with {_H6}, r as (select x.run, x.subrun, case when x.b = y.b and x.e = y.e then 'same' when x.b < y.e and y.b < x.e then 'overlap' else 'disjoint' end as relation
   from f x join f y on x.run = y.run and x.subrun = y.subrun and x.file_no < y.file_no)
 select run, subrun, count(*) filter (relation = 'same') as same, count(*) filter (relation = 'overlap') as overlap, count(*) filter (relation = 'disjoint') as disjoint
@@ -354,6 +386,13 @@ def hist2d(spark, d):
     return combine.histogram(read_table(spark, d, "lineitem"), {"bin_x": (F.col("l_quantity"), 0.0, 50.0, 10), "bin_y": (F.col("l_discount"), 0.0, 0.125, 5)})
 
 
+@query(f"""with {EVENTS_SQL} select dataset || '/value' as name, cast(case when value < 0 then 0 when value >= 100 then 51 else least(50, floor(value * 50 / 100.0) + 1) end as int) as bin, cast(sum(cast(value as decimal(18,2))) as double) as content from h1 group by 1, 2""")
+def hist_weighted(spark, d):
+    events = events_view(spark, d).withColumn("name", F.concat("dataset", F.lit("/value")))
+    out = combine.histogram(events, {"bin": (F.col("value"), 0.0, 100.0, 50)}, ("name",), F.col("value").cast("decimal(18,2)"))
+    return out.withColumn("content", F.col("content").cast("double"))
+
+
 @query(f"""with {EVENTS_SQL} select cast((event % 100) + 1 as int) as bin, count(*) as content from h1 group by 1""")
 def hist_merge(spark, d):
     # One histogram per run, as a run product, then the sum over runs.
@@ -385,9 +424,14 @@ select file_no, cast(0 as int) as seq, 'file_type' as name, '"data"' as value fr
 union all select file_no, 2, 'event_count', cast(n as varchar) from s union all select file_no, 3, 'first_event', cast(fe as varchar) from s union all select file_no, 4, 'last_event', cast(le as varchar) from s
 union all select file_no, 5, 'first_id', '[' || fr || ',' || fs || ',' || fe || ']' from s union all select file_no, 6, 'last_id', '[' || lr || ',' || ls || ',' || le || ']' from s
 union all select file_no, 7, 'start_time', strftime(b, '%Y-%m-%dT%H:%M:%S') from s union all select file_no, 8, 'end_time', strftime(e, '%Y-%m-%dT%H:%M:%S') from s
-union all select file_no, 9, 'runs', runs from u""")
+union all select file_no, 9, 'runs', runs from u
+union all select file_no, 10, 'parents', case when file_no > 1 then '[' || array_to_string(list_sort(['"in/' || (file_no - 1) || '.parquet"', '"in/' || file_no || '.parquet"']), ',') || ']' else '["in/1.parquet"]' end from s where file_no > 0""")
 def catalog_md(spark, d):
-    return output.catalog_metadata(split_events_view(spark, d), run_type="physics")
+    events = split_events_view(spark, d)
+    # A file is made from the input files of its own number and the one before; file 0 from none.
+    number = F.explode(F.array(F.col("file_no"), F.col("file_no") - 1))
+    parents = events.select("file_no").distinct().select("file_no", number.alias("n")).filter("n > 0").select("file_no", F.concat(F.lit("in/"), "n", F.lit(".parquet")).alias("parent"))
+    return output.catalog_metadata(events, run_type="physics", parents=parents)
 
 
 _VALUES = ("42", "-1.5e3", "[1,2]", '{"a":1}', '"quoted"', "plain text", "", "nan", "0x1f", 'say "hi"', "inf", "7.", "two\nlines", "a\ttab")
@@ -516,6 +560,11 @@ def sampling_summary(spark, d):
     return sampling.summary(_sample(spark, d), spark, _SETS)
 
 
+@query(f"with recursive {_PLAIN}, t as (select dataset, count(old_event) as n from cp left join sampled using (dataset) group by 1) select t.dataset, ev.run as next_run, ev.subrun as next_subrun, ev.event as next_event from t left join ev on ev.dataset = t.dataset and ev.ord = t.n + 1")
+def sampling_next(spark, d):
+    return sampling.next_events(events_view(spark, d), _sample(spark, d), _SETS)
+
+
 @query(f"""with {EVENTS_SQL}, i as (select distinct dataset, run, subrun from h1)
 select dataset, cast(count(*) as int) as n_ids, string_agg(run || ':' || subrun, ',' order by run, subrun) as ids from i group by 1""")
 def sampled_info(spark, d):

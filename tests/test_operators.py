@@ -160,6 +160,39 @@ def test_plugins_add_metadata(spark):
     assert got["n"] == "given" and got["event_count"] == "0"
 
 
+def test_range_sets_of_several_files(spark):
+    schema = "part int, run int, subrun int, begin bigint, end bigint"
+    rows = [(0, 1, 0, 1, 5), (0, 1, 1, 1, 3), (1, 1, 0, 5, 9), (2, 1, 0, 20, 22)]
+    got = ranges.merge_range_sets(spark.createDataFrame([("s", *r) for r in rows], "s string, " + schema), ("s",), "part", compact=True)
+    assert sorted((r["subrun"], r["begin"], r["end"]) for r in got.collect()) == [(0, 1, 22), (1, 1, 3)]
+    full = ranges.merge_range_sets(spark.createDataFrame([("s", *r) for r in rows], "s string, " + schema), ("s",), "part")
+    assert full.count() == 4
+    # Between what was gathered already, and of another run.
+    for bad, text_ in (((3, 1, 0, 10, 12), "meet in sub-run 0"), ((3, 2, 0, 30, 31), "different runs: 1 and 2")):
+        with pytest.raises(Exception, match=text_):
+            ranges.merge_range_sets(spark.createDataFrame([("s", *r) for r in [*rows, bad]], "s string, " + schema), ("s",), "part", compact=True).collect()
+
+
+def test_mixing_and_order_errors(spark):
+    with pytest.raises(LookupError, match="no product Int_x"):
+        lookup.resolve_products({"Int_m__P": "a"}, ["Int_x_*_*"])
+    assert lookup.resolve_products({"Int_m__P": "a", "Int_m__Q": "b"}, ["Int_m__*"]) == {"Int_m__*": "b"}
+    with pytest.raises(ValueError):
+        scan.unsorted_order(events(spark, COPIES), EventID(1, 0, 1))
+    assert sampling.configuration([sampling.DataSet("b", 1.0, "1:2:3"), sampling.DataSet("a", 3.0)]) == [("a", 3.0, 0.75, "(first event)"), ("b", 1.0, 0.25, "1:2:3")]
+    assert spark.range(1).select(combine.dummy_product("array<int>").alias("d")).schema["d"].dataType.simpleString() == "array<int>"
+
+
+def test_begin_time_of_what_follows(spark):
+    t = [datetime.datetime(2024, 1, 1, h) for h in range(5)]
+    e = spark.createDataFrame([(1, 1, 1, t[1]), (1, 1, 2, t[0]), (3, 0, 1, t[3])], "run int, subrun int, event bigint, ts timestamp")
+    c = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, None), (2, 0, None), (3, 0, t[4]), (3, 1, None)], "run int, subrun int, begin_ts timestamp")
+    got = {(r["run"], r["subrun"]): r["begin_ts"] for r in select.fill_begin_time(c, e, ("run", "subrun")).collect()}
+    assert got == {(1, 0): t[1], (1, 1): t[1], (1, 2): t[3], (2, 0): t[3], (3, 0): t[4], (3, 1): None}
+    runs = spark.createDataFrame([(0, None), (1, None), (2, None), (4, None)], "run int, begin_ts timestamp")
+    assert {r["run"]: r["begin_ts"] for r in select.fill_begin_time(runs, e, ("run",)).collect()} == {0: t[1], 1: t[1], 2: t[3], 4: None}
+
+
 def test_switching_names_need_a_number():
     with pytest.raises(ValueError):
         text.check_name_pattern("out.root", switching=True)
