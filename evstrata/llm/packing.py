@@ -5,9 +5,10 @@ Only how many pieces have each length matters, so the bins are planned on the dr
 best-fit-decreasing places the rest, whole runs of equal bins at a time.  Pieces are ranked within
 their length by salted counts and looked up in the plan.
 
-Defined results: a null or empty text is one piece of the separator alone; repeated rows are packed
-each; an empty table gives an empty result; extra columns are ignored; equal lengths are told apart
-by any fixed order.
+Defined results: a null or empty text is one piece of the separator alone; repeated rows, and rows
+without an id, are packed each; a text is tokenised whole, however long, and only texts beyond the
+capacity are cut; an empty table gives an empty result; extra columns are ignored; equal lengths are
+told apart by any fixed order.
 """
 
 from __future__ import annotations
