@@ -91,6 +91,7 @@ def sample(spark: SparkSession, events: DataFrame, datasets: list[DataSet], seed
     # One row: where the sample ends.
     end = matched.agg(F.coalesce(F.min(F.when(F.col("old_event").isNull(), F.col("draw"))), F.lit(n + 1)).alias("_end"))
     kept = matched.join(F.broadcast(end), F.col("draw") < F.col("_end"))
+    # As many rows as data sets were configured.
     return kept.join(F.broadcast(sets), "dataset").select(
         F.lit(first.run).alias(RUN), F.lit(first.subrun).alias(SUBRUN), (F.col("draw") + first.event - 1).alias(EVENT), "dataset", "weight", "probability", "old_run", "old_subrun", "old_event",
     )

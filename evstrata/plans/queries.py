@@ -728,6 +728,90 @@ def bitset(spark, d):
     return events_view(spark, d).select("event", bits.alias("bits"), (bits.bitwiseAND(15) == 0b1011).alias("as_expected"), F.bit_count(bits).alias("n_set"))
 
 
+# ---------------------------------------------------------------- the same operators over whole tables
+
+
+@query("""with recursive e(parent, child) as (select p_partkey // 2, p_partkey from part where p_partkey > 1), r(product) as (select p_partkey from part where p_partkey % 97 = 5 union select child from e join r on parent = product)
+select cast(p_partkey as varchar) as product, p_partkey in (select product from r) as dropped_with_ancestor from part where p_partkey % 3 = 0""")
+def drop_descendants_parts(spark, d):
+    key = read_table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    name = lambda c: F.expr(c).cast("string")
+    lineage = key.filter("k > 1").select(name("k div 2").alias("parent"), name("k").alias("child"))
+    return select.without_descendants(lineage, key.filter("k % 3 = 0").select(name("k").alias("product")), key.filter("k % 97 = 5").select(name("k").alias("product")))
+
+
+@query("""with recursive e as (select p_partkey as child, p_partkey // 3 as parent, p_partkey % 5 <> 0 as made from part where p_partkey >= 3),
+a(product_id, reached) as (select child, parent from e where child % 4 = 0 and made union select product_id, parent from a join e on child = reached where made)
+select product_id, reached as ancestor_id from a""")
+def provenance_ancestors_parts(spark, d):
+    key = read_table(spark, d, "part").select(F.col("p_partkey").alias("child")).filter("child >= 3")
+    edges = key.select("child", F.expr("child div 3").alias("parent"), (F.col("child") % 5 != 0).alias("child_produced"))
+    return provenance.ancestors(edges, key.filter("child % 4 = 0").select(F.col("child").alias("product_id")))
+
+
+@query("""with c as (select p_partkey as position, split_part(p_type, ' ', 1) as type, p_brand as label, case when p_size % 2 = 0 then 'a' else '' end as instance, 'P' || (p_size % 3) as process from part)
+select * from c where type = 'ECONOMY' and label = 'Brand#5' and instance = 'a' order by position desc limit 1""")
+def find_product_parts(spark, d):
+    part = read_table(spark, d, "part")
+    size = F.col("p_size")
+    catalog = part.select(F.col("p_partkey").alias("position"), F.substring_index("p_type", " ", 1).alias("type"), F.col("p_brand").alias("label"), F.when(size % 2 == 0, "a").otherwise("").alias("instance"), F.concat(F.lit("P"), (size % 3).cast("string")).alias("process"))
+    return select.find_product(catalog, "ECONOMY", "Brand#5", "a")
+
+
+@query("""with p as (select cast(p_partkey as varchar) as product, case when p_size % 2 = 0 then 'InEvent' else 'InRun' end as branch_type from part), s as (select distinct cast(l_partkey as varchar) as product from lineitem where l_quantity > 45)
+select product, branch_type, product in (select product from s) as present, product not in (select product from s) as dropped from p""")
+def product_registry_parts(spark, d):
+    products = read_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("product"), F.when(F.col("p_size") % 2 == 0, "InEvent").otherwise("InRun").alias("branch_type"))
+    stored = read_table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("product"))
+    return select.registry(products, stored)
+
+
+@query(f"with {EVENTS_SQL} select user_id, bool_or(dataset = 'purchase') as available from h1 group by 1")
+def available_users(spark, d):
+    return combine.available(events_view(spark, d).select("user_id", F.when(F.col("dataset") == "purchase", "present").otherwise("dropped").alias("status")), ("user_id",))
+
+
+@query(f"""with {_FRAGMENTS} select run, subrun, 'explicit' as kind, min("begin") as first_begin, max("end") as last_end, cast(sum("end" - "begin") as bigint) as value, 'ok' as status from f group by 1, 2""")
+def combine_subruns(spark, d):
+    # A sub-run's fragments in several files are disjoint, so their values add up.
+    one = F.array(F.struct(F.col("subrun").cast("int").alias("subrun"), F.col("begin").alias("begin"), F.col("end").alias("end")))
+    rows = _fragments(spark, d).select("run", "subrun", F.col("file_no").cast("bigint").alias("entry"), F.lit(ranges.EXPLICIT).alias("kind"), one.alias("ranges"), (F.col("end") - F.col("begin")).alias("value"))
+    out = combine.combine_fragments(rows, ("run", "subrun"))
+    return out.select("run", "subrun", "kind", F.array_min("ranges.begin").alias("first_begin"), F.array_max("ranges.end").alias("last_end"), "value", "status")
+
+
+@query("""with h as (select n_name as history_id, s_suppkey as pos, s_name as process from supplier join nation on s_nationkey = n_nationkey), g as (select history_id, string_agg(process, ' -> ' order by pos) as processes, count(*) as n_processes from h group by 1)
+select history_id, chr(cast(64 + row_number() over (order by history_id) as int)) as letter, processes, n_processes from g""")
+def process_history_suppliers(spark, d):
+    nations = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("history_id"))
+    return provenance.histories(read_table(spark, d, "supplier").join(nations, "s_nationkey").select("history_id", F.col("s_suppkey").alias("pos"), F.col("s_name").alias("process")))
+
+
+@query("select p_brand as label, min(p_partkey) as id, arg_min(p_name, p_partkey) as body from part where regexp_matches(p_brand, '^Brand#[12]') group by 1")
+def config_dump_parts(spark, d):
+    none = F.lit(None).cast("string")
+    sets = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module_label"), none.alias("service_type"), none.alias("service_provider"), none.alias("process_name"), F.col("p_name").alias("body"))
+    return report.configurations(sets, "module", "^Brand#[12]")
+
+
+@query(f"""with {EVENTS_SQL}
+select event as number, case when event % 10 not in (3, 7) then cast(run as bigint) end as run, case when event % 10 not in (3, 7) then cast(subrun as bigint) end as subrun, case when event % 10 not in (3, 7) then event end as event from h1""")
+def parse_event_ids(spark, d):
+    sep = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    run, subrun, event = F.col("run"), F.col("subrun"), F.col("event")
+    text = F.when(event % 10 == 3, sep(run, ":", subrun)).when(event % 10 == 7, F.col("dataset")).otherwise(sep(" ", run, " :", subrun, ": ", event))
+    rows = events_view(spark, d).select(event.alias("number"), text.alias("text"))
+    return rows.select("number", *(c.alias(n) for c, n in zip(parsed_id("text"), KEYS, strict=True)))
+
+
+@query(f"""with {EVENTS_SQL}, v as (select event, case event % 4 when 0 then props when 1 then dataset when 2 then cast(user_id as varchar) else '"' || dataset || '"' end as value from h1)
+select event, case when event % 4 = 1 then '"' || value || '"' else value end as json from v""")
+def metadata_json_events(spark, d):
+    kind = F.col("event") % 4
+    value = F.when(kind == 0, F.col("props")).when(kind == 1, F.col("dataset")).when(kind == 2, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), "dataset", F.lit('"')))
+    return events_view(spark, d).select("event", T.json_value(value).alias("json"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """From a start position on and without duplicates, per run: events, first and last ID, sub-runs and their ranges."""
     events = scan.from_first(split_events_view(spark, d), 1, 0, 1)
