@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .shared import cut, small, table, text_key
+from .shared import BROADCAST_ROWS, cut, small, table, text_key
 
 U64 = np.uint64
 
@@ -200,7 +200,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: SeedRule = SeedRule())
     scanned = cut(texts.mapInArrow(_scan(shared, short, rule), f"doc_id long, text_key string, doc_words binary, hits {kind}"), "scanned")
     hit = cut(scanned.filter("hits is not null").dropDuplicates(["text_key"]).select("text_key", "doc_words", "hits"), "hit")
     met = hit.select("text_key", F.inline("hits").alias("seed", "doc_at")).join(small(seeds), "seed").select("text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    candidates = met.join(hit.select("text_key", "doc_words"), "text_key").join(small(once.select("item", "item_words")), "item")
+    candidates = met.join(hit.select("text_key", "doc_words"), "text_key").join(small(once.select("item", "item_words"), wide="item_words"), "item")
     found = candidates.mapInArrow(_verify(rule), "text_key string, item string, matched long, first_word long, last_word long")
     return scanned.select("doc_id", "text_key"), found, items.select("item", "item_id")
 
@@ -210,7 +210,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: SeedRule = SeedRu
     every, found, items = overlaps(docs, benchmark, rule)
     found = cut(found.groupBy("text_key", "item").agg(F.max("matched").alias("matched")), "overlaps")
     by_text = found.join(small(items), "item").groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("matched").alias("matched_words"))
-    out = every.join(small(by_text), "text_key", "left")
+    # As many ids as rows of what was found.
+    by_text = F.broadcast(by_text) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else by_text
+    out = every.join(by_text, "text_key", "left")
     return out.select("doc_id", F.col("matched_words").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("matched_words", F.lit(0)).cast("long").alias("matched_words"), "text_key")
 
 

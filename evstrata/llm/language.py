@@ -200,7 +200,7 @@ def count_levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         level = level.withColumn("k", F.lit(k))
         every = level if every is None else every.unionByName(level)
     every = cut(every, "levels")
-    # Absolute discount by order and language: n1 / (n1 + 2 n2), as Kneser and Ney give it.
+    # Absolute discount by order and language: n1 / (n1 + 2 n2), as Kneser and Ney give it.  Broadcast: four rows a language.
     discount = every.groupBy("k", "lang").agg(((F.count_if(F.col("n") == 1) + 0.5) / (F.count_if(F.col("n") == 1) + 2 * F.count_if(F.col("n") == 2) + 1)).alias("d"))
     context = every.groupBy("k", "lang", "x").agg(F.sum("n").alias("t"), F.count("*").alias("kinds")).join(F.broadcast(discount), ["k", "lang"])
     context = cut(context.select("k", "lang", "x", "t", "d", (F.col("d") * F.col("kinds") / F.col("t")).alias("spare")), "contexts")
@@ -411,6 +411,7 @@ def with_rejection(found: DataFrame, sure: str = "calibrates AND lang = lang_pre
     in all languages, and if that is as rare, one over all lengths whose spread is that of a mean of so
     many symbols.
     """
+    # What is broadcast has a row for each language, or for each language and power of two of symbols.
     length = F.floor(F.log2(F.greatest(F.col("symbols"), F.lit(1)))).cast("int")
     found = found.withColumn("length_class", length)
     good = found.filter(F.expr(sure)).filter("lang_pred <> 'und'")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are a few dozen bytes wide is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a wide column is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -58,9 +60,14 @@ def text_key(text: str | Column = "text") -> Column:
     return F.coalesce(F.md5(text), F.lit(""))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``limit`` rows; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, wide: str | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``limit`` rows; otherwise leave the join to shuffle.
+
+    Rows are narrow but for the column ``wide``, whose bytes are counted, too.
+    """
+    few = df.limit(limit + 1)
+    n, size = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0)) if wide else F.lit(0)).first()
+    return F.broadcast(df) if n <= limit and size <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -128,7 +128,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = LISTED + PA
     targets = targets.select("target", tokens_of(F.col("spaced")).alias("tokens"))
     index = cut(filed(targets, rules), "rules")
     fetched = F.col("tokens") if index.filter("token = ''").isEmpty() else F.concat("tokens", F.array(F.lit("")))
-    fits = targets.select("target", F.explode(fetched).alias("token")).join(small(index), "token").filter(F.expr("target rlike pattern"))
+    fits = targets.select("target", F.explode(fetched).alias("token")).join(small(index, wide="pattern"), "token").filter(F.expr("target rlike pattern"))
     rank = F.struct(F.length("name"), "name", "verdict")
     found = fits.groupBy("target").agg(F.max(F.when(F.col("listed"), rank)).alias("best"), F.min(F.when(~F.col("listed") & (F.col("verdict") == "block"), F.col("name"))).alias("pattern_rule"))
     out = parts.withColumn("target", F.concat("host", "path")).join(found, "target", "left")
