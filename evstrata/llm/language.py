@@ -40,7 +40,7 @@ LEAST_LANGS = 4
 PAD, SPACE = 1, 32
 _M = [pow(0xF1357AEA2E62A9C5, j, 1 << 64) for j in range(ORDER)]
 #: Characters counted or scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 @lru_cache(maxsize=1)
