@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Words remembered by one Python worker; the memory starts anew beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile(r"<\||[\x1c-\x1f]")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ſ]*")
