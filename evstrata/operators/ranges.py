@@ -6,16 +6,24 @@ A range is ``(subrun, begin, end)`` of one run.  A range set has a kind besides
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import EVENT, RUN, SUBRUN
+from ..plans.session import tasks_for
 
 # Kinds of range sets, and the statuses of products.
 INVALID, FULL_RUN, FULL_SUBRUN, EXPLICIT = "invalid", "full_run", "full_subrun", "explicit"
 PRESENT, DUMMY = "present", "dummyToPreventDoubleCount"
 #: Event numbers by which ranges of one sub-run number are dealt out.
 PART = 1 << 20
+#: Fragments whose relations are counted by one task.
+FRAGMENTS = 250_000
+#: Pieces in which the events of a fragment are dealt out, so that a large one is not in one task.
+PIECES = 64
 
 
 def full_ranges(events: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> DataFrame:
@@ -60,25 +68,44 @@ def merge_range_sets(parts: DataFrame, by: tuple[str, ...], order: str, compact:
 def relation_counts(fragments: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN), file: str = "file_no") -> DataFrame:
     """For each sub-run how many pairs of its fragments, from different files, are the ``same``, ``overlap`` or are ``disjoint``.
 
-    Nothing is paired: equal fragments are counted, and for each fragment those that ended before it
-    began, by a running count over begins and ends in order.
+    Nothing is paired: each fragment counts, by running counts over begins and ends in order, the fragments that
+    ended before it began, that began before it and that are equal to it and before it, in all files less in its
+    own.  Sub-runs are dealt once, to as many tasks as the number of fragments needs, and these sort and count
+    them, so that their memory does not grow with the input.  Fragments without a file or part of their key, or
+    of no event, are in no pair.
     """
+    tasks = tasks_for(fragments.sparkSession, fragments.count(), FRAGMENTS)
+    return _counted_relations(fragments.repartition(tasks, *by), by, file)
+
 
-    def counted(keys: list[str]) -> DataFrame:
-        alike = fragments.groupBy(*keys, "begin", "end").agg(F.count("*").alias("n"))
-        same = alike.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.expr("n * (n - 1) div 2")).alias("same"))
-        # An end comes before a begin at the same event, for ranges are half-open.
-        ends = alike.select(*keys, F.col("end").alias("at"), F.lit(0).alias("kind"), "n")
-        begins = alike.select(*keys, F.col("begin").alias("at"), F.lit(1).alias("kind"), "n")
-        marks = ends.unionByName(begins).groupBy(*keys, "at", "kind").agg(F.sum("n").alias("n"))
-        before = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).over(Window.partitionBy(*keys).orderBy("at", "kind"))
-        apart = marks.withColumn("_before", before).filter("kind = 1").groupBy(*keys).agg(F.sum(F.col("n") * F.col("_before")).alias("disjoint"))
-        return same.join(apart, keys).select(*keys, "same", "disjoint", F.expr("_n * (_n - 1) div 2 - same - disjoint").alias("overlap"))
-
-    names = ("same", "overlap", "disjoint")
-    own = counted([*by, file]).groupBy(*by).agg(*(F.sum(c).alias(f"_{c}") for c in names))
-    every = counted(list(by)).join(own, list(by))
-    return every.select(*by, *((F.col(c) - F.col(f"_{c}")).cast("bigint").alias(c) for c in names))
+def event_relation_counts(events: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN), file: str = "file_no") -> DataFrame:
+    """``relation_counts`` of what ``compact_ranges`` makes of events in each file, for sub-runs of few events.
+
+    For such, combining events as they are read saves hardly a row, but holds a table of a whole split.  So they are
+    dealt by pieces of fragments, then pieces by sub-runs, to as many tasks as the number of events needs.
+    """
+    tasks = tasks_for(events.sparkSession, events.count(), FRAGMENTS)
+    rows = events.select(*by, file, EVENT, (F.col(EVENT) % PIECES).alias("_piece")).repartition(tasks, *by, file, "_piece")
+    pieces = compact_ranges(rows, (*by, file, "_piece")).repartition(tasks, *by)
+    return _counted_relations(pieces.groupBy(*by, file).agg(F.min("begin").alias("begin"), F.max("end").alias("end")), by, file)
+
+
+def _counted_relations(fragments: DataFrame, by: tuple[str, ...], file: str) -> DataFrame:
+    """``relation_counts`` of fragments that are dealt by ``by``."""
+    # An end comes before a begin at the same event, for ranges are half-open.
+    ends, begins, none = 0, 1, -1
+    mark = lambda at, kind, other: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), F.col(other).alias("other"))
+    known = reduce(and_, (F.col(c).isNotNull() for c in (*by, file, "begin", "end")))
+    marks = F.when(known, F.array(mark("begin", begins, "end"), mark("end", ends, "begin"))).otherwise(F.array(mark("begin", none, "end")))
+    out = fragments.select(*by, file, F.inline(marks))
+    for prefix, keys in (("own", (*by, file)), ("all", by)):
+        order = Window.partitionBy(*keys).orderBy("at", "kind", "other")
+        until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        count = lambda kind, until=until: F.sum((F.col("kind") == kind).cast("bigint")).over(until)
+        out = out.withColumns({f"{prefix}_begun": count(begins), f"{prefix}_ended": count(ends), f"{prefix}_same": F.row_number().over(order) - F.rank().over(order)})
+    more = lambda name: F.sum(F.when(F.col("kind") == begins, F.col(f"all_{name}") - F.col(f"own_{name}")).otherwise(0)).cast("bigint")
+    counts = out.groupBy(*by).agg(more("begun").alias("pairs"), more("ended").alias("disjoint"), more("same").alias("same"))
+    return counts.select(*by, "same", (F.col("pairs") - F.col("same") - F.col("disjoint")).alias("overlap"), "disjoint")
 
 
 def invalidate_foreign(products: DataFrame, owners: DataFrame, by: tuple[str, ...] = (RUN, SUBRUN)) -> DataFrame:

@@ -45,3 +45,12 @@ BROADCAST_ROWS = 200_000
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it has at most ``limit`` rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for ``rows`` of which one can hold ``each``, but at least one for each core.
+
+    The number of shuffle partitions is fixed, and adaptive execution sizes them by compressed bytes, of which
+    sorted numbers have few for many rows.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
