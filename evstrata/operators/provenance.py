@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import cut, sized, small
 
 NONE, PRIOR, ALL = "NONE", "PRIOR", "ALL"
 
@@ -41,7 +41,7 @@ def kept_provenance(selected: DataFrame, descriptions: DataFrame, provenance: Da
     if not keeps or drop_for_dropped:
         return kept, described
     here = chosen if drop == NONE else chosen.filter("produced")
-    front = cut(provenance.join(here.select("entry", "product_id"), ["entry", "product_id"]).select("entry", "product_id", "status", "parents"))
+    front = cut(provenance.join(small(here.select("entry", "product_id")), ["entry", "product_id"]).select("entry", "product_id", "status", "parents"))
     reached = chosen.select("entry", "product_id")
     more = None
     while True:
@@ -49,8 +49,8 @@ def kept_provenance(selected: DataFrame, descriptions: DataFrame, provenance: Da
         described = described.unionByName(parents.select("product_id").distinct())
         if drop != NONE:
             break
-        step = parents.filter("produced").select("entry", "product_id").join(reached, ["entry", "product_id"], "left_anti")
-        front = cut(provenance.join(step, ["entry", "product_id"]).select("entry", "product_id", "status", "parents"))
+        step = cut(parents.filter("produced").select("entry", "product_id").join(small(reached), ["entry", "product_id"], "left_anti"))
+        front = cut(provenance.join(small(step), ["entry", "product_id"]).select("entry", "product_id", "status", "parents"))
         if front.isEmpty():
             break
         more = front if more is None else more.unionByName(front)
@@ -65,14 +65,16 @@ def ancestors(parentage: DataFrame, start: DataFrame) -> DataFrame:
     """
     edges = parentage.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("child_produced").alias("_made"))
     front = start.select("product_id", F.col("product_id").alias("at"))
-    found = None
+    # Each side is broadcast or not by the rows of its round, which are counted from what was cut.
+    joined, found, total = small(front), None, 0
     while True:
-        step = front.join(edges.filter("_made"), F.col("at") == F.col("_c")).select("product_id", F.col("_p").alias("at")).distinct()
-        step = cut(step if found is None else step.join(found, ["product_id", "at"], "left_anti"))
-        if step.isEmpty():
+        step = joined.join(edges.filter("_made"), F.col("at") == F.col("_c")).select("product_id", F.col("_p").alias("at")).distinct()
+        step = cut(step if found is None else step.join(sized(found, total), ["product_id", "at"], "left_anti"))
+        n = step.count()
+        if n == 0:
             break
         found = step if found is None else cut(found.unionByName(step))
-        front = step
+        joined, total = sized(step, n), total + n
     if found is None:
         found = front.limit(0)
     return found.select("product_id", F.col("at").alias("ancestor_id"))

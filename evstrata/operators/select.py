@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import cut, sized
 
 PARTS = ("type", "label", "instance", "process")
 
@@ -53,15 +53,15 @@ def without_descendants(lineage: DataFrame, selected_products: DataFrame, droppe
 
     The closure runs level by level in the data and ends when nothing new is reached, at any depth.
     """
-    reached = dropped.select("product").distinct()
-    front = reached
-    while True:
-        children = lineage.join(front.withColumnRenamed("product", "parent"), "parent").select(F.col("child").alias("product")).distinct()
-        front = cut(children.join(reached, "product", "left_anti"))
-        if front.isEmpty():
-            break
-        reached = cut(reached.unionByName(front))
-    return selected_products.join(reached.withColumn("_lost", F.lit(True)), "product", "left").select("product", F.coalesce("_lost", F.lit(False)).alias("dropped_with_ancestor"))
+    reached = front = cut(dropped.select("product").distinct())
+    n = total = front.count()
+    while n > 0:
+        children = lineage.join(sized(front.withColumnRenamed("product", "parent"), n), "parent").select(F.col("child").alias("product")).distinct()
+        front = cut(children.join(sized(reached, total), "product", "left_anti"))
+        n = front.count()
+        if n > 0:
+            reached, total = cut(reached.unionByName(front)), total + n
+    return selected_products.join(sized(reached.withColumn("_lost", F.lit(True)), total), "product", "left").select("product", F.coalesce("_lost", F.lit(False)).alias("dropped_with_ancestor"))
 
 
 def find_product(catalog: DataFrame, type_: str, label: str, instance: str = "", process: str | None = None) -> DataFrame:

@@ -42,9 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` of ``rows`` rows if they are at most ``limit``; beyond that the join sorts and merges.
+
+    Left to itself the planner goes by the bytes of files, in which millions of sorted numbers are few.
+    """
+    return F.broadcast(df) if rows <= limit else df.hint("merge")
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``limit`` rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``sized`` by a count that ends beyond ``limit``."""
+    return sized(df, df.limit(limit + 1).count(), limit)
 
 
 def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
